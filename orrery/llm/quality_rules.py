@@ -1,7 +1,8 @@
 """Quality rules combined by weak supervision, in DataFrame expressions only.
 
 Each rule looks at one statistic of a text and votes good (1), bad (-1) or
-abstains (0).  A Dawid-Skene label model, fitted by expectation-maximisation on
+abstains (0).  A Dawid-Skene label model (two classes, abstentions carry no
+evidence), fitted by expectation-maximisation on
 the counts of distinct vote patterns over *all* documents, estimates for every
 rule how often it votes each way on good and on bad texts; a document is kept
 when its posterior probability of being good reaches ``keep_at``.
@@ -34,15 +35,18 @@ RULES = [
     ("tables", "n_pipes <= 0.02 * n_words", "n_pipes > 0.2 * n_words"),
     ("word_length", "word_chars between 3 * n_words and 9 * n_words", "word_chars > 14 * n_words or word_chars < 2 * n_words"),
     ("repetition", "n_repeat_words <= 0.05 * n_words", "n_repeat_words > 0.2 * n_words"),
-    ("line_copies", "n_dup_lines <= 0.05 * n_lines", "n_dup_lines > 0.3 * n_lines"),
+    ("line_copies", "n_dup_lines <= 0.05 * n_lines", "n_dup_lines > 0.4 * n_lines"),
     ("vocabulary", "n_words >= 30 and n_distinct > 0.35 * n_words", "n_words >= 30 and n_distinct < 0.15 * n_words"),
     ("length", "n_words >= 40", "n_words < 10"),
 ]
 
 ITERATIONS = 25
-#: First guess of P(vote good | good), P(bad | good), P(good | bad), P(bad | bad).
-FIRST_GUESS = (0.85, 0.02, 0.5, 0.35)
-FIRST_PRIOR = 0.85
+#: First guess of P(votes bad | good text, voted) and P(votes bad | bad text, voted), and of P(good text).
+FIRST_GUESS = (0.001, 0.25)
+FIRST_PRIOR = 0.9
+#: What a rule's author promises: of good texts, it calls at most this part bad.
+#: Without it, likelihood alone lets a frequent kind of junk count as good.
+MAX_FALSE_ALARM = 0.001
 #: Pseudo-counts that keep every estimated probability away from 0 and 1.
 SMOOTHING = 1.0
 
@@ -94,27 +98,23 @@ def vote_columns(rules=RULES) -> list[Column]:
 
 
 def fit_label_model(votes: DataFrame, n_rules: int, iterations: int = ITERATIONS) -> DataFrame:
-    """One row: prior, and per rule a struct of the four conditional vote probabilities.
+    """One row: prior, and per rule how often its votes say bad on good and on bad texts.
 
     ``votes`` has an array column ``votes``.  Without any row the first guess comes back.
     """
     patterns = votes.groupBy("votes").agg(F.count("*").cast("double").alias("c"))
-    gg, bg, gb, bb = FIRST_GUESS
-    guess = f"named_struct('gg', {gg}D, 'bg', {bg}D, 'gb', {gb}D, 'bb', {bb}D)"
+    guess = f"named_struct('good', {FIRST_GUESS[0]}D, 'bad', {FIRST_GUESS[1]}D)"
     first = f"named_struct('prior', {FIRST_PRIOR}D, 'rules', array_repeat({guess}, {n_rules}))"
     a = SMOOTHING
-    table = patterns.agg(F.array_sort(F.collect_list(F.struct("votes", "c"))).alias("t"))
+    table = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "c"))).alias("t"))
+    rate = lambda g: f"({a}D + {_sum('q', f'if(e.v[j] = -1, e.c * {g}, 0D)')}) / (2 * {a}D + {_sum('q', f'if(e.v[j] <> 0, e.c * {g}, 0D)')})"
     step = f"""
       transform(array(s), s0 ->
         transform(array(transform(t, p -> named_struct('v', p.votes, 'c', p.c, 'g', {_posterior('s0', 'p.votes')}))), q ->
           named_struct(
             'prior', ({a}D + {_sum('q', 'e.c * e.g')}) / (2 * {a}D + {_sum('q', 'e.c')}),
             'rules', transform(sequence(0, {n_rules} - 1), j -> named_struct(
-              'gg', ({a}D + {_sum('q', 'if(e.v[j] = 1, e.c * e.g, 0D)')}) / (3 * {a}D + {_sum('q', 'e.c * e.g')}),
-              'bg', ({a}D + {_sum('q', 'if(e.v[j] = -1, e.c * e.g, 0D)')}) / (3 * {a}D + {_sum('q', 'e.c * e.g')}),
-              'gb', ({a}D + {_sum('q', 'if(e.v[j] = 1, e.c * (1D - e.g), 0D)')}) / (3 * {a}D + {_sum('q', 'e.c * (1D - e.g)')}),
-              'bb', ({a}D + {_sum('q', 'if(e.v[j] = -1, e.c * (1D - e.g), 0D)')}) / (3 * {a}D + {_sum('q', 'e.c * (1D - e.g)')})
-            )))
+              'good', least({MAX_FALSE_ALARM}D, {rate('e.g')}), 'bad', {rate('(1D - e.g)')})))
         )[0]
       )[0]"""
     return table.select(F.expr(f"if(size(t) > 0, aggregate(sequence(1, {iterations}), {first}, (s, i) -> {step}), {first})").alias("model"))
@@ -126,8 +126,8 @@ def _sum(rows: str, term: str) -> str:
 
 def _posterior(model: str, votes: str) -> str:
     odds = f"""aggregate(zip_with({votes}, {model}.rules, (v, r) -> case v
-        when 1 then ln(r.gg / r.gb) when -1 then ln(r.bg / r.bb)
-        else ln((1D - r.gg - r.bg) / (1D - r.gb - r.bb)) end), ln({model}.prior / (1D - {model}.prior)), (acc, x) -> acc + x)"""
+        when 1 then ln((1D - r.good) / (1D - r.bad)) when -1 then ln(r.good / r.bad) else 0D end),
+        ln({model}.prior / (1D - {model}.prior)), (acc, x) -> acc + x)"""
     return f"(1D / (1D + exp(-({odds}))))"
 
 
