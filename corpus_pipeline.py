@@ -9,23 +9,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import mixture, quality_rules
+from orrery.llm import bagminhash, bpe, hyperlang, mixture, quality_rules
 from orrery.llm.scratch import Scratch
 
 
+#: Cosine with the best prototype; texts of a few letters have about 0.1 and more.
+MIN_LANGUAGE_SCORE = 0.05
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.kept_documents(docs)
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the prototypes recognise at all."""
+    return hyperlang.spoken_documents(docs, MIN_LANGUAGE_SCORE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies."""
+    return bagminhash.distinct_documents(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixture.mixed_documents(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with their count and digests."""
+    return bpe.encode_with_digests(docs)
+
+
 STAGES = [
     ("quality", quality),
+    ("language", language),
+    ("near_duplicates", near_duplicates),
     ("mix", mix),
+    ("encode", encode),
 ]
 
 #: Expectation-maximisation, sketches and byte-pair merges are not expressible in SQL.
