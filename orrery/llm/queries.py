@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bpe, hyperlang, mixture, quality_rules
+from . import bagminhash, boosted, bpe, hyperlang, mixture, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,16 @@ def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return boosted.classify(docs, boosted.train(docs, labels))
+
+
+def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.classify(docs, toxicity.train(docs, labels))
+
+
 def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixture.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -37,6 +47,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_bpe_chunks": op4_bpe_chunks,
+    "op5_boosted_quality": op5_boosted_quality,
+    "op7_toxic_segments": op7_toxic_segments,
     "op8_source_mixture": op8_source_mixture,
     "op9_bagminhash": op9_bagminhash,
     "op10_language": op10_language,
