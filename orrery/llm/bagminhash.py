@@ -214,7 +214,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
     candidates = member.groupBy("node").agg(F.first("doc_id").alias("doc_id"), F.sum("size").alias("degree"))
     candidates = scratch.keep(candidates, "candidates")
-    source = texts.alias("t").join(candidates.alias("c"), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id"))).select("node", "text")
+    # Always by a shuffle: the candidates grow with the corpus, so a broadcast would only ever fit small ones.
+    source = texts.alias("t").hint("merge").join(candidates.alias("c"), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id"))).select("node", "text")
     bags = scratch.keep(
         source.mapInArrow(_bags, "node binary, bag binary").groupBy("node").agg(F.first("bag").alias("bag")), "bags"
     )
