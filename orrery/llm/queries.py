@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, boosted, bpe, html_blocks, hyperlang, mixture, quality_rules, toxicity
+from . import bagminhash, boosted, bpe, edit_counts, html_blocks, hyperlang, image_copies, mixture, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images; each 8 x 8 grid of ``embeddings`` is taken as one, of 48 x 48 pixels."""
+    return image_copies.copies(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", image_copies.grey_of_grid)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,10 @@ def op5_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted.classify(docs, boosted.train(docs, labels))
 
 
+def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.redacted_counts(_table(spark, sf_dir, "documents"))
+
+
 def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return toxicity.classify(docs, toxicity.train(docs, labels))
@@ -49,10 +58,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_image_copies": op1_image_copies,
     "op2_quality_rules": op2_quality_rules,
     "op3_html_blocks": op3_html_blocks,
     "op4_bpe_chunks": op4_bpe_chunks,
     "op5_boosted_quality": op5_boosted_quality,
+    "op6_edit_counts": op6_edit_counts,
     "op7_toxic_segments": op7_toxic_segments,
     "op8_source_mixture": op8_source_mixture,
     "op9_bagminhash": op9_bagminhash,
