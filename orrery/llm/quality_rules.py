@@ -131,15 +131,11 @@ def _posterior(model: str, votes: str) -> str:
     return f"(1D / (1D + exp(-({odds}))))"
 
 
-def judge(docs: DataFrame, keep_at: float = 0.5, rules=RULES, iterations: int = ITERATIONS, one_pass: bool = True) -> DataFrame:
-    """Statistics, base_failed, quality (posterior, 6 decimals) and kept for each row of ``docs``.
-
-    ``one_pass`` writes the narrow table of statistics, so that the texts are read
-    once; without it they are read for the fit and again for the verdicts.
-    """
+def judge(docs: DataFrame, keep_at: float = 0.5, rules=RULES, iterations: int = ITERATIONS) -> DataFrame:
+    """Statistics, base_failed, quality (posterior, 6 decimals) and kept for each row of ``docs``."""
     voted = text_statistics(docs).withColumn("votes", F.array(*vote_columns(rules)))
-    if one_pass:
-        voted = Scratch(docs.sparkSession, "quality").keep(voted, "votes")
+    # Written, so that the texts are read once and no filter below is pushed into the array expressions.
+    voted = Scratch(docs.sparkSession, "quality").keep(voted, "votes")
     model = fit_label_model(voted.select("votes"), len(rules), iterations)
     scored = voted.crossJoin(F.broadcast(model))  # one row, by construction
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -157,4 +153,4 @@ def kept_documents(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
     possibly repeated or null doc_id: every column travels in one struct.
     """
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), F.col("text"))
-    return judge(boxed, keep_at, one_pass=False).filter("kept").select("doc_id.*")
+    return judge(boxed, keep_at).filter("kept").select("doc_id.*")
