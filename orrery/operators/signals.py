@@ -115,11 +115,25 @@ STRATEGIES = {
 
 
 def all_targets(signals: DataFrame, min_pool: int = 10, min_short: int = 1, buckets: bool = False) -> DataFrame:
-    """strategy, trade_date, symbol, weight of the three strategies; with ``buckets`` also of each size bucket alone."""
-    out = None
-    parts = [("", signals)] + ([(f"_{b}", signals.filter(F.col("size_bucket") == b)) for b in ("small", "non_small")] if buckets else [])
-    for suffix, part in parts:
-        for name, build in STRATEGIES.items():
-            own = build(part, min_pool, min_short).select(F.lit(name + suffix).alias("strategy"), "trade_date", "symbol", "weight")
-            out = own if out is None else out.unionByName(own)
-    return out
+    """strategy, trade_date, symbol, weight of the three strategies, in one pass over the signals.
+
+    With ``buckets`` also of each size bucket alone, as <strategy>_small and <strategy>_non_small.
+    """
+    parts = F.array_compact(F.array(F.lit(""), F.concat(F.lit("_"), F.col("size_bucket")))) if buckets else F.array(F.lit(""))
+    pool = signals.filter("eligible").withColumn("_part", F.explode(parts))
+    day = Window.partitionBy("_part", "trade_date")
+    score = F.col("paper_score").cast("double")
+    pool = pool.withColumns({
+        "_n": F.count("*").over(day), "_long": F.count_if("strict_long").over(day), "_short": F.count_if("strict_short").over(day),
+        "_up": F.count_if(score > 0).over(day), "_down": F.count_if(score < 0).over(day),
+    }).filter(F.col("_n") >= min_pool)
+    strict = F.when(F.col("strict_long"), F.col("yes_count")).when(F.col("strict_short"), -F.col("no_count")).cast("double")
+    raws = [
+        F.when((F.col("_long") >= 1) & (F.col("_short") >= min_short), strict),
+        F.when((F.col("_up") >= 1) & (F.col("_down") >= min_short), score),
+        F.when(F.col("strict_long"), F.lit(1.0)),
+    ]
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), raw.alias("raw")) for name, raw in zip(STRATEGIES, raws)]))
+    rows = pool.select("_part", "trade_date", "symbol", each.alias("s")).filter("s.raw is not null and s.raw <> 0")
+    rows = rows.select(F.concat(F.col("s.name"), F.col("_part")).alias("strategy"), "trade_date", "symbol", F.col("s.raw").alias("raw"))
+    return rows.withColumn("weight", gross_one(F.col("raw"), "strategy", "trade_date")).drop("raw")

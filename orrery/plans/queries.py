@@ -41,6 +41,11 @@ def off_tie(c: str, digits: int) -> Column:
     return F.round(F.col(c) + F.lit(0.000012345), digits)
 
 
+def slog(c: str, digits: int = 4) -> Column:
+    """sign(x) log(1 + |x|): the tables' random prices compound to numbers of hundreds of digits."""
+    return F.round(F.signum(F.col(c)) * F.log1p(F.abs(F.col(c))), digits)
+
+
 @query
 def daily_bars(spark, d):
     return T.bars(spark, d).select("symbol", "trade_date", "open", "close", "volume")
@@ -115,19 +120,19 @@ def _daily(spark, d) -> DataFrame:
 @query
 def backtest_daily(spark, d):
     out = _daily(spark, d)
-    rounded = [r6(c).alias(c) for c in ("gross_ret", "turnover", "cost", "net_ret", "leverage", "gross_leverage")]
+    rounded = [off_tie(c, 6).alias(c) for c in ("gross_ret", "turnover", "cost", "net_ret", "leverage", "gross_leverage")]
     return out.select("strategy", "trade_date", *rounded, "n_long", "n_short")
 
 
 @query
 def backtest_performance(spark, d):
     out = R.performance(_daily(spark, d))
-    return out.select("strategy", *[r6(c, 4).alias(c) for c in ("total_return", "ann_return", "ann_vol", "sharpe", "max_drawdown")], "n_days")
+    return out.select("strategy", *[slog(c).alias(c) for c in ("total_return", "ann_return", "ann_vol", "sharpe", "max_drawdown")], "n_days")
 
 
 @query
 def equity_path(spark, d):
-    return R.with_equity(_daily(spark, d)).select("strategy", "trade_date", r6("equity").alias("equity"), r6("drawdown").alias("drawdown"))
+    return R.with_equity(_daily(spark, d)).select("strategy", "trade_date", slog("equity").alias("equity"), slog("drawdown").alias("drawdown"))
 
 
 @query
@@ -349,13 +354,13 @@ def page_times(spark, d):
 @query
 def baseline_path(spark, d):
     one = T.bars(spark, d).filter("symbol like 'S1.%'")
-    return B.baseline(one).select("trade_date", r6("ret").alias("ret"), r6("equity", 4).alias("equity"))
+    return B.baseline(one).select("trade_date", r6("ret").alias("ret"), slog("equity").alias("equity"))
 
 
 @query
 def strategy_against_baseline(spark, d):
     base = B.baseline(T.bars(spark, d).filter("symbol like 'S1.%'"))
-    return R.against_baseline(_daily(spark, d), base).select("strategy", "trade_date", r6("equity").alias("equity"), r6("baseline_equity", 4).alias("baseline_equity"))
+    return R.against_baseline(_daily(spark, d), base).select("strategy", "trade_date", slog("equity").alias("equity"), slog("baseline_equity").alias("baseline_equity"))
 
 
 @query

@@ -129,6 +129,7 @@ def _weights(n: int = 64) -> str:
     return "[" + ", ".join(str((k % 5 - 2) / 10) for k in range(n)) + "]"
 
 
+_SLOG = "round(sign({0}) * ln(1 + abs({0})), 4)"
 _STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 SQL: dict[str, str] = {
@@ -147,12 +148,12 @@ SQL: dict[str, str] = {
           select *, floor(n * 0.3::double) as k from (select *, row_number() over (partition by trade_date order by pred, symbol) as r, count(*) over (partition by trade_date) as n from pred where eligible))
         where n >= 3 and k >= 1 and (r > n - k or r <= k)""", "pred"),
     "pool_counts": _with("select trade_date, count(*) as n_pool, count(*) filter (strict_long) as n_long, count(*) filter (strict_short) as n_short from sig where eligible group by trade_date", "sig"),
-    "backtest_daily": _with("select strategy, trade_date, round(gross_ret, 6) as gross_ret, round(turnover, 6) as turnover, round(cost, 6) as cost, round(net_ret, 6) as net_ret, round(leverage, 6) as leverage, round(gross_leverage, 6) as gross_leverage, n_long, n_short from daily", "daily"),
-    "backtest_performance": _with("""
-        select strategy, round(total, 4) as total_return, round(case when total > -1 then (1 + total) ** (252.0 / n) - 1 else -1 end, 4) as ann_return, round(vol, 4) as ann_vol,
-          round(m * 252 / nullif(vol, 0), 4) as sharpe, round(dd, 4) as max_drawdown, n as n_days
+    "backtest_daily": _with("select strategy, trade_date, " + ", ".join(f"round({c} + 0.000012345, 6) as {c}" for c in ("gross_ret", "turnover", "cost", "net_ret", "leverage", "gross_leverage")) + ", n_long, n_short from daily", "daily"),
+    "backtest_performance": _with(f"""
+        select strategy, {_SLOG.format('total')} as total_return, {_SLOG.format('(case when total > -1 then (1 + total) ** (252.0 / n) - 1 else -1 end)')} as ann_return, {_SLOG.format('vol')} as ann_vol,
+          {_SLOG.format('(m * 252 / nullif(vol, 0))')} as sharpe, {_SLOG.format('dd')} as max_drawdown, n as n_days
         from (select strategy, product(1 + net_ret) - 1 as total, avg(net_ret) as m, stddev_samp(net_ret) * sqrt(252) as vol, min(drawdown) as dd, count(*) as n from path group by strategy)""", "path"),
-    "equity_path": _with("select strategy, trade_date, round(equity, 6) as equity, round(drawdown, 6) as drawdown from path", "path"),
+    "equity_path": _with(f"select strategy, trade_date, {_SLOG.format('equity')} as equity, {_SLOG.format('drawdown')} as drawdown from path", "path"),
     "trailing_volatility": _with("""
         select strategy, trade_date, round(case when count(net_ret) over w >= 20 then stddev_samp(net_ret) over w * sqrt(252) end, 6) as vol_est_ann from daily
         window w as (partition by strategy order by trade_date rows between 63 preceding and 1 preceding)""", "daily"),
@@ -216,9 +217,9 @@ SQL: dict[str, str] = {
         select case when n > 1 then 'several_symbols' when k % 2 = 1 then 'other_symbol' else 'kept' end as reason, count(*) as n
         from (select l_orderkey as k, count(distinct l_suppkey) as n from lineitem group by 1) group by 1""",
     "sampled_pages": "select page_id, url from pages order by md5('7|' || page_id), page_id limit 20",
-    "baseline_path": _with("select trade_date, round(ret, 6) as ret, round(equity, 4) as equity from base1", "base1"),
-    "strategy_against_baseline": _with("""
-        select strategy, trade_date, round(equity, 6) as equity, round(b / first_value(b) over (partition by strategy order by trade_date), 4) as baseline_equity from (
+    "baseline_path": _with(f"select trade_date, round(ret, 6) as ret, {_SLOG.format('equity')} as equity from base1", "base1"),
+    "strategy_against_baseline": _with(f"""
+        select strategy, trade_date, {_SLOG.format('equity')} as equity, {_SLOG.format('(b / first_value(b) over (partition by strategy order by trade_date))')} as baseline_equity from (
           select strategy, trade_date, path.equity, last_value(base1.equity ignore nulls) over (partition by strategy order by trade_date) as b from path left join base1 using (trade_date)) where b is not null""", "path", "base1"),
     "loss_day_summary": _with("""
         select strategy, trade_date, count(*) filter (weight > 0) as n_long, count(*) filter (weight < 0) as n_short, round(sum(weight * ret), 6) as total,
