@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.times import market_time
 
-BY_DAY = Window.partitionBy("symbol").orderBy("trade_date")
+
+def by_day():
+    return Window.partitionBy("symbol").orderBy("trade_date")
+
+
 DECISION_HOUR, CLOSE_HOUR = 9, 16
 ADV_DAYS, LEAST_ROWS = 20, 25
 
@@ -31,21 +35,21 @@ def adjustment() -> Column:
 
 def average_dollar_volume(days: int = ADV_DAYS) -> Column:
     """Mean of close x volume over the ``days`` rows before; null with fewer."""
-    prior = BY_DAY.rowsBetween(-days, -1)
+    prior = by_day().rowsBetween(-days, -1)
     traded = F.col("close") * F.col("volume")
     return F.when(F.count(traded).over(prior) == days, F.avg(traded).over(prior))
 
 
 def training_return() -> Column:
     """Next open over open less one; null without a next day or with an open that is not positive."""
-    following = F.lead("open").over(BY_DAY)
+    following = F.lead("open").over(by_day())
     return F.when((F.col("open") > 0) & (following > 0), following / F.col("open") - 1)
 
 
 def backtest_return() -> Column:
     """As ``training_return`` of adjusted opens with trades on both days; 0 where undefined."""
     price = F.col("open") * adjustment()
-    following, traded = F.lead(price).over(BY_DAY), F.lead("volume").over(BY_DAY)
+    following, traded = F.lead(price).over(by_day()), F.lead("volume").over(by_day())
     good = (price > 0) & (following > 0) & (F.col("volume") > 0) & (traded > 0)
     return F.coalesce(F.when(good, following / price - 1), F.lit(0.0))
 
@@ -55,7 +59,7 @@ def with_statistics(bars: DataFrame, min_price: float, min_adv: float, days: int
     every = Window.partitionBy("symbol")
     out = bars.withColumns({
         "n_rows": F.count("*").over(every),
-        "prev_close": F.lag("close").over(BY_DAY),
+        "prev_close": F.lag("close").over(by_day()),
         "adv": average_dollar_volume(days),
         "ret": backtest_return(),
         "fwd_ret": training_return(),
@@ -72,7 +76,7 @@ def calendar(bars: DataFrame, overnight: bool = False) -> DataFrame:
     cutoff = market_time("trade_date", DECISION_HOUR)
     opens = market_time("trade_date", CLOSE_HOUR) if overnight else cutoff
     days = bars.select("symbol", "trade_date").distinct()
-    return days.select("symbol", "trade_date", F.lag(opens).over(BY_DAY).alias("window_open"), cutoff.alias("cutoff")).filter("window_open is not null")
+    return days.select("symbol", "trade_date", F.lag(opens).over(by_day()).alias("window_open"), cutoff.alias("cutoff")).filter("window_open is not null")
 
 
 def trade_days(bars: DataFrame, first=None, last=None) -> DataFrame:
@@ -103,6 +107,6 @@ def baseline(bars: DataFrame) -> DataFrame:
 
 def near_rows(bars: DataFrame, targets: DataFrame, distance: int = 3) -> DataFrame:
     """Bars within ``distance`` rows of each target (symbol, target_date), with their signed offset."""
-    numbered = bars.withColumn("row", F.row_number().over(BY_DAY))
+    numbered = bars.withColumn("row", F.row_number().over(by_day()))
     at = numbered.join(targets, ["symbol"]).filter(F.col("trade_date") == F.col("target_date")).select("symbol", "target_date", F.col("row").alias("at"))
     return numbered.join(at, "symbol").filter(F.abs(F.col("row") - F.col("at")) <= distance).withColumn("offset", F.col("row") - F.col("at")).drop("row", "at")
