@@ -70,4 +70,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _mixture_sql() -> str:
+    return rf"""
+      with d as (select doc_id, source, len({WORDS}) as size, md5('{mixture.SEED}|' || coalesce(cast(doc_id as varchar), 'null')) as h from documents),
+      s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as r from d group by source),
+      w as (select *, [{', '.join(f'{w}::double' for w in mixture.WEIGHTS)}][r % {len(mixture.WEIGHTS)} + 1] as weight, {mixture.MAX_EPOCHS}::double * source_size as cap from s),
+      o as (select *, cap / weight as level, sum(cap) over k - cap as before, sum(weight) over (order by cap / weight, r rows between current row and unbounded following) as after
+        from w window k as (order by cap / weight, r)),
+      l as (select first(({mixture.SHARE} * (select sum(source_size) from s) - before) / after order by level, r) as level from o
+        where ({mixture.SHARE} * (select sum(source_size) from s) - before) / after <= level),
+      t as (select source, source_size, least(cap, weight * l.level) as target from w, l),
+      u as (select *, floor(target / nullif(source_size, 0)) as whole from t),
+      x as (select d.*, source_size, target, whole::bigint as whole, round(target - whole * source_size)::bigint as rest,
+        sum(size) over (partition by d.source order by h, doc_id, size rows unbounded preceding) - size as done
+        from d join u on d.source is not distinct from u.source)
+      select doc_id, size, source_size, target, (coalesce(whole, 0) * size + greatest(0, least(size, coalesce(rest, 0) - done)))::bigint as taken from x"""
+
+
+def _quality_sql() -> str:
+    rules = quality_rules.RULES
+    n, w, a = len(rules), quality_rules.WINDOW, quality_rules.SMOOTHING
+    votes = ", ".join(f"case when {good} then 1 when {bad} then -1 else 0 end" for _, good, bad in rules)
+    odds = lambda m, v: f"ln({m}.prior / (1 - {m}.prior)) + " + " + ".join(
+        f"case {v}[{j}] when 1 then ln((1 - {m}.good[{j}]) / (1 - {m}.bad[{j}])) when -1 then ln({m}.good[{j}] / {m}.bad[{j}]) else 0 end" for j in range(1, n + 1)
+    )
+    rate = lambda j, g: f"({a} + sum(case when v[{j}] = -1 then c * {g} else 0 end)) / (2 * {a} + sum(case when v[{j}] <> 0 then c * {g} else 0 end))"
+    return rf"""
+      with recursive d as (select row_number() over () as k, doc_id, coalesce(text, '') as text, {WORDS} as words from documents),
+      win as (select k, p, words[p:p + {w - 1}] as five from (select k, words, unnest(range(1, len(words) - {w - 2})) as p from d where len(words) >= {w})),
+      spots as (select k, p from win qualify count(*) over (partition by k, five) > 1),
+      cov as (select k, count(distinct p + j) as n_repeat_words from spots, (select unnest(range({w})) as j) group by k),
+      st as (
+        select k, doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars, len(list_distinct(words)) as n_distinct,
+          length(text) - length(regexp_replace(text, '[{quality_rules.SYMBOLS}]', '', 'g')) as n_symbols, length(text) - length(replace(text, '|', '')) as n_pipes,
+          length(text) - length(replace(text, '!', '')) as n_bangs, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+          coalesce(n_repeat_words, 0) as n_repeat_words from d left join cov using (k)),
+      s2 as (select *, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines from st),
+      s3 as (select *, [{votes}] as v from s2),
+      pat as (select v, count(*)::double as c from s3 group by v),
+      em as (
+        select 0 as i, {quality_rules.FIRST_PRIOR}::double as prior, [{', '.join([f'{quality_rules.FIRST_GUESS[0]}::double'] * n)}] as good, [{', '.join([f'{quality_rules.FIRST_GUESS[1]}::double'] * n)}] as bad
+        union all
+        select i + 1, ({a} + sum(c * g)) / (2 * {a} + sum(c)), [{', '.join(f"least({quality_rules.MAX_FALSE_ALARM}::double, {rate(j, 'g')})" for j in range(1, n + 1))}],
+          [{', '.join(rate(j, '(1 - g)') for j in range(1, n + 1))}]
+        from (select i, v, c, 1 / (1 + exp(-({odds('em', 'pat.v')}))) as g from em, pat where i < {quality_rules.ITERATIONS}) group by i),
+      scored as (select s3.*, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, round(1 / (1 + exp(-({odds('em', 's3.v')}))), 6) as quality from s3, em where i = {quality_rules.ITERATIONS})
+      select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, not base_failed and quality >= 0.5 as kept from scored"""
+
+
+#: The other operators have no SQL: sketches, hashing into vectors, trees, tokenizers, HTML.
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _quality_sql(), "op8_source_mixture": _mixture_sql()}
