@@ -106,7 +106,7 @@ def _statistics_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Forest:
     """Fit on at most ``sample`` labelled documents (a sampled id that repeats in ``docs`` counts each time, up to that bound)."""
     chosen = label_sample(labels, label, sample)
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most ``sample`` ids
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most ``sample`` ids
     rows = texts.mapInArrow(_statistics_rows, "label int, x array<float>").limit(sample).toArrow()
     x = np.array(rows.column("x").to_pylist(), np.float32).reshape(-1, len(NAMES))
     y = np.asarray(rows.column("label").to_pylist(), float)

@@ -69,12 +69,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: floa
     return take(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), weights, share, max_epochs, seed)
 
 
-def take(slim: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """``mix`` for rows whose ``size`` is known already (doc_id, source, size, and any other columns)."""
+def take(slim: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED, wide: bool = False) -> DataFrame:
+    """``mix`` for rows with a ``size`` (doc_id, source, size, and any other columns).
+
+    ``wide`` rows are not written: a second pass over their source takes them, and
+    only the few in a hash range that holds a limit are shuffled.
+    """
     scratch = Scratch(slim.sparkSession, "mixture")
     order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    # The texts are read once; everything below works on this narrow table.
-    slim = scratch.keep(slim.withColumn("h", order).withColumn("bucket", F.substring("h", 1, DIGITS)), "sizes")
+    slim = slim.withColumn("h", order).withColumn("bucket", F.substring("h", 1, DIGITS))
+    if not wide:  # the texts are read once; everything below works on this narrow table
+        slim = scratch.keep(slim, "sizes")
 
     ranges = scratch.keep(slim.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "ranges")
     sizes = scratch.keep(cyclic_weights(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights), "sources")
@@ -113,5 +118,5 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
     """
     boxed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     times = F.col("whole") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
-    taken = take(boxed, weights, share, max_epochs, seed)
+    taken = take(boxed, weights, share, max_epochs, seed, wide=True)
     return taken.filter(times > 0).select("row", F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("k")).select("row.*")

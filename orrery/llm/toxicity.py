@@ -168,7 +168,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
     chosen = label_sample(labels, label, sample)
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most ``sample`` ids
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most ``sample`` ids
     found = texts.mapInArrow(_occurrences, "token string, near long, label int").distinct()
     by_token = found.groupBy("token").agg(F.sum("label").cast("double").alias("y1"), F.sum(1 - F.col("label")).cast("double").alias("y0"))
     by_token = Scratch(docs.sparkSession, "toxicity").keep(by_token, "tokens")
