@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Tasks that add up the partial matrices before the driver does.
+MERGE = 16
+
+
 def finite_vector(v: Column | str) -> Column:
     v = F.col(v) if isinstance(v, str) else v
     return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))), F.lit(False))
@@ -47,8 +51,8 @@ def group_score(mode: str, weights: list[float], bias: float) -> Column:
 def gram(rows: DataFrame, vector: str, target: str, dimensions: int) -> dict[str, np.ndarray | float]:
     """n, X'X, X'y, sum x, sum y, sum y^2 over all rows: partial sums on the executors, one small merge.
 
-    What reaches the driver is one (d + 2) x (d + 2) matrix a task; the texts of d
-    and the number of rows do not matter to it.
+    Each task makes one (d + 2) x (d + 2) matrix; ``MERGE`` tasks add these up, and
+    the driver adds up their results, whatever the number of rows.
     """
     from collections.abc import Iterator
 
@@ -63,15 +67,16 @@ def gram(rows: DataFrame, vector: str, target: str, dimensions: int) -> dict[str
         yield pa.RecordBatch.from_arrays([pa.array([total.reshape(-1).tolist()], pa.list_(pa.float64()))], ["z"])
 
     good = rows.filter(finite_vector(vector) & (F.size(vector) == dimensions) & finite(target)).select(vector, F.col(target).cast("double").alias("y"))
-    parts = good.mapInArrow(run, "z array<double>")
-    size = (dimensions + 2) ** 2
-    summed = parts.agg(*[F.sum(F.get("z", k)) for k in range(size)]).first() if size <= 2000 else None
-    if summed is not None:
-        z = np.array([v or 0.0 for v in summed])
-    else:
-        z = np.zeros(size)
-        for row in parts.toLocalIterator():
-            z += np.array(row["z"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((dimensions + 2) ** 2)
+        for batch in batches:
+            for row in batch.column(0):
+                total += np.array(row.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["z"])
+
+    parts = good.mapInArrow(run, "z array<double>").repartition(MERGE).mapInArrow(add, "z array<double>").collect()
+    z = np.sum([p["z"] for p in parts], axis=0) if parts else np.zeros((dimensions + 2) ** 2)
     z = z.reshape(dimensions + 2, dimensions + 2)
     d = dimensions
     return {"n": z[d, d], "xx": z[:d, :d], "xy": z[:d, d + 1], "x": z[:d, d], "y": z[d, d + 1], "yy": z[d + 1, d + 1]}
