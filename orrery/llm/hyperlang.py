@@ -136,7 +136,9 @@ def fit_prototypes(docs: DataFrame, trainable: Column, per_language: int = PER_L
     rows = docs.filter(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     dice = F.pmod(F.xxhash64("doc_id", F.lit("prototype")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(counts, "lang").filter(dice * F.col("n") < per_language).select("lang", "text")
+    # The choice is made on ids and languages alone; about ``per_language`` ids of each language are broadcast.
+    chosen = rows.select("doc_id", "lang").join(counts, "lang").filter(dice * F.col("n") < per_language).select("doc_id").distinct()
+    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
     parts = sample.repartition(16).mapInArrow(_sum_by_language(dimensions), "lang string, sums array<double>").collect()  # at most 16 rows a language
     names = sorted({p["lang"] for p in parts})
     total = np.zeros((len(names), dimensions))
