@@ -255,6 +255,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     if not more.isEmpty():
         classes = _components(scratch, links.unionByName(more))
 
+    # The result reads only the signed texts and the classes.
+    for done in ("members", "candidates", "bags", "starred", "measured", "undecided", "able", "pairs", "more", "both"):
+        scratch.drop(done)
+
     named = contents.select("node", "doc_id", "copies").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     per_class = named.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = named.select("node", "class", "copies").join(per_class, "class").select("node", "class_id", "class_size", "copies")
