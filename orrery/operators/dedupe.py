@@ -1,8 +1,8 @@
 """Near-duplicate articles of a symbol within a few business days, first one kept.
 
-Candidates share a symbol and a *rare* token.  A cosine of at least ``threshold``
-forces two bags to share a token of each other's prefix (tokens ordered by
-frequency, rarest first), so looking candidates up by prefix tokens loses none.
+Dot products come from one join on symbol, token and a span of days as long as the
+window, so that a symbol's long history does not meet itself; sums combine on the
+map side before pairs are shuffled.
 """
 
 from __future__ import annotations
@@ -32,23 +32,16 @@ def similar_pairs(articles: DataFrame, threshold: float = 0.8, window_days: int
 
     articles: symbol, day, doc (unique, orders articles within a day), text.
     """
-    own = bags(articles)
-    freq = own.groupBy("symbol", "token").agg(F.count("*").alias("df"))
-    ranked = own.join(freq, ["symbol", "token"])
-    rarest = Window.partitionBy("symbol", "doc").orderBy(F.desc("df"), F.desc("token"))
-    # The suffix of common tokens whose norm stays below the threshold cannot reach it alone.
-    common = F.sqrt(F.sum(F.col("c") * F.col("c")).over(rarest.rowsBetween(Window.unboundedPreceding, Window.currentRow))) / F.col("norm")
-    prefix = ranked.withColumn("common", common).filter(F.col("common") >= threshold - 1e-9).select("symbol", "day", "doc", "token")
-    x, y = prefix.alias("x"), prefix.alias("y")
+    span = (window_days // 5 + 1) * 7 + 2  # no window has more calendar days
+    number = F.floor(F.datediff("day", F.lit("1970-01-05").cast("date")) / span)
+    own = bags(articles).withColumn("span", number)
+    x = own.withColumn("span", F.explode(F.array(F.col("span"), F.col("span") + 1))).alias("x")
+    y = own.alias("y")
     earlier = F.struct("x.day", "x.doc") < F.struct("y.day", "y.doc")
     near = business_days("x.day", "y.day") <= window_days
-    found = x.join(y, (F.col("x.symbol") == F.col("y.symbol")) & (F.col("x.token") == F.col("y.token")) & earlier & near)
-    found = found.select(F.col("x.symbol").alias("symbol"), F.col("x.doc").alias("earlier"), F.col("y.doc").alias("later")).distinct()
-    left = own.select("symbol", F.col("doc").alias("earlier"), "token", F.col("c").alias("c1"), F.col("norm").alias("n1"))
-    right = own.select("symbol", F.col("doc").alias("later"), "token", F.col("c").alias("c2"), F.col("norm").alias("n2"))
-    dots = found.join(left, ["symbol", "earlier"]).join(right, ["symbol", "later", "token"]).groupBy("symbol", "earlier", "later").agg(
-        F.sum(F.col("c1") * F.col("c2")).alias("dot"), F.first("n1").alias("n1"), F.first("n2").alias("n2")
-    )
+    same = (F.col("x.symbol") == F.col("y.symbol")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.span") == F.col("y.span"))
+    pairs = x.join(y, same & earlier & near).groupBy(F.col("x.symbol").alias("symbol"), F.col("x.doc").alias("earlier"), F.col("y.doc").alias("later"))
+    dots = pairs.agg(F.sum(F.col("x.c") * F.col("y.c")).alias("dot"), F.max("x.norm").alias("n1"), F.max("y.norm").alias("n2"))
     return dots.select("symbol", "earlier", "later", (F.col("dot") / (F.col("n1") * F.col("n2"))).alias("cosine")).filter(F.col("cosine") >= threshold)
 
 
