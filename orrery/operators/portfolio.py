@@ -7,8 +7,6 @@ rebalances it is a running product.  No day waits for the one before it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
