@@ -12,8 +12,10 @@ connected one that has met nobody yet, never all pairs; pairs that share
 ``MIN_SHARED`` or more buckets are verified: mutual matches of least Hamming
 distance each propose a similarity transform, and a link needs enough of them to
 agree on one.  Rounds go on, over buckets that still hold several classes, as
-long as a round finds links.  The search is approximate by nature; against all
-pairs its recall is measured in the tests and the README.
+long as a round finds links; then every pair of an open bucket that is in
+different classes and has not met is verified, so no pair of a bucket is left
+undecided.  The search is approximate by nature; against all pairs its recall is
+measured in the tests and the README.
 
 Defined results: an image that is null, empty or without corners is linked only to
 images of equal pixels (null: to none); repeated rows share a class; an empty
@@ -202,23 +204,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], ["a", "b", "linked"])
 
 
-def copies(images: DataFrame, id_column: str, image_column: str, grey=None, min_shared: int = MIN_SHARED) -> DataFrame:
-    """One row per row of ``images``: id, class_id (smallest id of the class), class_size.
-
-    ``grey`` turns a value of ``image_column`` into grey pixels; by default it is
-    read as a struct of Spark's image source.
-    """
-    grey = grey or (lambda s: grey_of_struct(s["height"], s["width"], s["nChannels"], s["data"]))
-    scratch = Scratch(images.sparkSession, "images")
-    kind = images.schema[id_column].dataType.simpleString()
-    rows = images.select(F.col(id_column).alias("id"), F.col(image_column).alias("image"))
-    found = scratch.keep(rows.mapInArrow(_describe(grey), f"id {kind}, node binary, features binary, keys array<long>"), "found")
-    nodes = scratch.keep(found.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("features").alias("features"), F.first("keys").alias("keys")), "nodes")
+def classes_of(scratch: Scratch, nodes: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
+    """(node, class) for the linked ones of ``nodes`` (node, features, keys)."""
     member = nodes.select("node", F.explode("keys").alias("key")).withColumn("size", F.count("*").over(Window.partitionBy("key"))).filter("size > 1")
     degree = member.groupBy("node").agg(F.sum("size").alias("degree"))
     member = scratch.keep(member.join(degree, "node").select("key", "node", "degree"), "members")
     features = nodes.select("node", "features")
-    links = classes = None
+    links = classes = done = None
     rank = F.struct("degree", "node")
     while True:
         pivot = F.max_by("node", rank).over(Window.partitionBy("key"))
@@ -232,21 +224,52 @@ def copies(images: DataFrame, id_column: str, image_column: str, grey=None, min_
         votes = turn.filter("class <> pivot_class and not (met and node = pivot)").groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count("*").alias("shared"))
         # A pair's buckets may choose it in different rounds, so the shared buckets are counted over all of them.
         asked = votes.select("a", "b") if min_shared <= 1 else _shared(votes.select("a", "b"), member, min_shared)
-        left, right = (features.select(F.col("node").alias(s), F.col("features").alias(f"f_{s}")) for s in "ab")
-        new = asked.join(left, "a").join(right, "b").select("a", "b", "f_a", "f_b").mapInArrow(_verify, "a binary, b binary, linked boolean").filter("linked").select("a", "b")
+        asked = scratch.keep(asked, "asked")
+        done = asked if done is None else done.unionByName(asked)
+        new = _linked(asked, features)
         new = scratch.keep(new, "links")
-        if links is not None and new.isEmpty():
-            break
+        barren = new.isEmpty()
         links = new if links is None else links.unionByName(new)
-        classes = _components(scratch, links)
+        if classes is None or not barren:
+            classes = _components(scratch, links)
         met = turn.withColumn("met", F.col("met") | (F.col("node") == F.col("pivot"))).select("key", "node", "degree", "met")
         classed = met.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
         # A bucket stays open while an image of it that has met nobody is in another class than some other one.
         by_key = Window.partitionBy("key")
         still = (F.min("class").over(by_key) != F.max("class").over(by_key)) & (F.sum((~F.col("met")).cast("int")).over(by_key) > 1)
         classed = scratch.keep(classed.withColumn("open", still).filter("open").drop("open"), "classed")
-        if classed.isEmpty():
+        if barren or classed.isEmpty():
             break
+    # Of the buckets still open, the pairs in different classes of which neither has met the bucket.
+    x, y = classed.filter("not met").alias("x"), classed.filter("not met").alias("y")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.class") != F.col("y.class")))
+    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    rest = rest.distinct() if min_shared <= 1 else _shared(rest.distinct(), member, min_shared)
+    rest = scratch.keep(rest.join(done, ["a", "b"], "left_anti"), "rest")
+    more = scratch.keep(_linked(rest, features), "links")
+    return classes if more.isEmpty() else _components(scratch, links.unionByName(more))
+
+
+def _linked(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) that are copies."""
+    left, right = (features.select(F.col("node").alias(s), F.col("features").alias(f"f_{s}")) for s in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "f_a", "f_b")
+    return both.mapInArrow(_verify, "a binary, b binary, linked boolean").filter("linked").select("a", "b")
+
+
+def copies(images: DataFrame, id_column: str, image_column: str, grey=None, min_shared: int = MIN_SHARED) -> DataFrame:
+    """One row per row of ``images``: id, class_id (smallest id of the class), class_size.
+
+    ``grey`` turns a value of ``image_column`` into grey pixels; by default it is
+    read as a struct of Spark's image source.
+    """
+    grey = grey or (lambda s: grey_of_struct(s["height"], s["width"], s["nChannels"], s["data"]))
+    scratch = Scratch(images.sparkSession, "images")
+    kind = images.schema[id_column].dataType.simpleString()
+    rows = images.select(F.col(id_column).alias("id"), F.col(image_column).alias("image"))
+    found = scratch.keep(rows.mapInArrow(_describe(grey), f"id {kind}, node binary, features binary, keys array<long>"), "found")
+    nodes = scratch.keep(found.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("features").alias("features"), F.first("keys").alias("keys")), "nodes")
+    classes = classes_of(scratch, nodes, min_shared)
     named = nodes.select("node", "id", "rows").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     per_class = named.groupBy("class").agg(F.min("id").alias("class_id"), F.sum("rows").alias("class_size"))
     named = named.join(per_class, "class").select("node", "class_id", "class_size")
