@@ -5,7 +5,10 @@ data) or as grey grids.  Corners are local maxima of the Harris response on a
 pyramid of scales.  A corner's direction is that of the intensity centroid around
 it; its descriptor is 256 comparisons of smoothed pixel pairs, turned by that
 direction.  Descriptors are looked up in ``TABLES`` hash tables, each keyed by its
-own bits: two descriptors that differ in less than ``TABLES`` bits share a bucket.
+own 16 bits: two descriptors that differ in less than ``TABLES`` bits share a bucket,
+and with independent flips those at ``MATCH_BITS`` do with probability 0.44 (at 26
+bits 0.96).  Images that agree in ``MIN_AGREE`` such matches, all of them at the
+limit, share one with probability 0.99.
 
 Images with equal pixels are one node.  In a bucket every image meets the most
 connected one that has met nobody yet, never all pairs; pairs that share
@@ -35,7 +38,7 @@ from .bagminhash import _components
 from .scratch import Scratch
 from .words import U, mix64
 
-BITS, TABLES = 256, 4
+BITS, TABLES = 256, 16
 SCALE_STEP, LEAST_SIDE = 1.4142135623730951, 24
 RADIUS = 8
 CORNER = 0.05  # of the image's largest response
@@ -138,15 +141,16 @@ def corners(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def table_keys(codes: np.ndarray) -> np.ndarray:
     """The distinct buckets of an image's descriptors, over all tables."""
-    words = np.ascontiguousarray(codes).view(U).reshape(-1, TABLES)
-    return np.unique(mix64(words ^ mix64(np.arange(TABLES, dtype=U))).view(np.int64))
+    words = np.ascontiguousarray(codes).view(f"u{BITS // TABLES // 8}").reshape(-1, TABLES)
+    return np.unique(mix64(words.astype(U) ^ mix64(np.arange(TABLES, dtype=U))).view(np.int64))
 
 
 def agreement(pa_: np.ndarray, ca: np.ndarray, pb: np.ndarray, cb: np.ndarray) -> int:
     """The most mutual matches that agree on one similarity transform."""
     if not len(pa_) or not len(pb):
         return 0
-    distance = np.bitwise_count(ca[:, None] ^ cb[None]).sum(axis=2, dtype=np.int64)
+    wa, wb = (np.ascontiguousarray(c).view(U) for c in (ca, cb))
+    distance = np.bitwise_count(wa[:, None] ^ wb[None]).sum(axis=2, dtype=np.int64)
     best_b, best_a = distance.argmin(axis=1), distance.argmin(axis=0)
     mine = np.flatnonzero((best_a[best_b] == np.arange(len(ca))) & (distance[np.arange(len(ca)), best_b] <= MATCH_BITS))
     if len(mine) < 2:

@@ -25,3 +25,22 @@ def test_a_hot_bucket_is_decided_to_its_end(spark):
     copy = descriptors(rng, 12)
     images = [copy, copy] + [descriptors(rng, 12) for _ in range(6)]
     assert classes(spark, images, [[1, 2]] * 2 + [[1, 2, 3]] * 6) == [0, 0, 2, 3, 4, 5, 6, 7]
+
+
+def flipped(codes, n, rng):
+    """``codes`` with ``n`` bits of each flipped."""
+    bits = np.unpackbits(codes, axis=1)
+    for row in bits:
+        row[rng.choice(image_copies.BITS, n, replace=False)] ^= 1
+    return np.packbits(bits, axis=1)
+
+
+def test_descriptors_within_the_limit_meet():
+    """Of single descriptors 26 bits apart, and of images with ``MIN_AGREE`` matches at the limit."""
+    rng = np.random.default_rng(6)
+    for n, bits, least in ((1, 26, 0.9), (image_copies.MIN_AGREE, image_copies.MATCH_BITS, 0.95)):
+        met = []
+        for _ in range(400):
+            codes = descriptors(rng, n)[1]
+            met.append(len(np.intersect1d(image_copies.table_keys(codes), image_copies.table_keys(flipped(codes, bits, rng)))) > 0)
+        assert np.mean(met) >= least, (n, bits)
