@@ -11,17 +11,18 @@ bits 0.96).  Images that agree in ``MIN_AGREE`` such matches, all of them at the
 limit, share one with probability 0.99.
 
 Images with equal pixels are one node.  In a bucket every image meets the most
-connected one that has met nobody yet, never all pairs; pairs that share
-``MIN_SHARED`` or more buckets are verified: mutual matches of least Hamming
-distance each propose a similarity transform, and a link needs enough of them to
-agree on one.  Rounds go on, over buckets that still hold several classes, as
-long as a round finds links; then every pair of an open bucket that is in
-different classes and has not met is verified, so no pair of a bucket is left
-undecided.  The search is approximate by nature; against all pairs its recall is
-measured in the tests and the README.
-
-Defined results: an image that is null, empty or without corners is linked only to
-images of equal pixels (null: to none); repeated rows share a class; an empty
+connected one that has met nobody yet; every pair that meets is verified: mutual
+matches of least Hamming distance each propose a similarity transform, and a link
+needs enough of them to agree on one.  Rounds go on, over buckets that still hold
+several classes, as long as a round finds links; then every pair of an open bucket
+that is in different classes and has not met is verified, so no pair of a bucket
+is left undecided.  The search is approximate by nature; against all pairs its
+recall is measured in the tests and the README.
+
+Defined results: an image that is null, empty or of fewer than ``LEAST_AGREE``
+corners is linked only to images of equal pixels (null: to none), as so few
+corners agree by chance (of pairs with random pictures 0.0001 for 4, 0.0009 for
+3); repeated rows share a class; one of 5 to 7 needs all of its corners; an empty
 table gives no rows; extra columns do not enter.
 """
 
@@ -42,9 +43,10 @@ BITS, TABLES = 256, 16
 SCALE_STEP, LEAST_SIDE = 1.4142135623730951, 24
 RADIUS = 8
 CORNER = 0.05  # of the image's largest response
-MIN_SHARED = 2
 #: Of 256 bits, at most this many differ in a match; matches that must agree; part of the fewer corners that must.
 MATCH_BITS, MIN_AGREE, MIN_PART = 48, 8, 0.35
+#: An image of fewer than ``MIN_AGREE`` corners needs all of them to agree, and at least this many.
+LEAST_AGREE = 5
 TILE = 6  # pixels to a cell of a grey grid
 
 _KERNEL = np.exp(-0.5 * (np.arange(-3, 4) / 1.5) ** 2)
@@ -168,7 +170,8 @@ def agreement(pa_: np.ndarray, ca: np.ndarray, pb: np.ndarray, cb: np.ndarray) -
 
 
 def is_copy(pa_: np.ndarray, ca: np.ndarray, pb: np.ndarray, cb: np.ndarray) -> bool:
-    return agreement(pa_, ca, pb, cb) >= max(MIN_AGREE, MIN_PART * min(len(pa_), len(pb)))
+    fewer = min(len(pa_), len(pb))
+    return agreement(pa_, ca, pb, cb) >= max(min(MIN_AGREE, max(fewer, LEAST_AGREE)), MIN_PART * fewer)
 
 
 def _pack(points: np.ndarray, codes: np.ndarray) -> bytes:
@@ -208,7 +211,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], ["a", "b", "linked"])
 
 
-def classes_of(scratch: Scratch, nodes: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
+def classes_of(scratch: Scratch, nodes: DataFrame) -> DataFrame:
     """(node, class) for the linked ones of ``nodes`` (node, features, keys)."""
     member = nodes.select("node", F.explode("keys").alias("key")).withColumn("size", F.count("*").over(Window.partitionBy("key"))).filter("size > 1")
     degree = member.groupBy("node").agg(F.sum("size").alias("degree"))
@@ -225,10 +228,8 @@ def classes_of(scratch: Scratch, nodes: DataFrame, min_shared: int = MIN_SHARED)
         turn = classed.withColumn("pivot", fresh if classes is not None else pivot).filter("pivot is not null")
         of_pivot = F.max(F.when(F.col("node") == F.col("pivot"), F.col("class"))).over(Window.partitionBy("key"))
         turn = scratch.keep(turn.withColumn("pivot_class", of_pivot), "turn")
-        votes = turn.filter("class <> pivot_class and not (met and node = pivot)").groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count("*").alias("shared"))
-        # A pair's buckets may choose it in different rounds, so the shared buckets are counted over all of them.
-        asked = votes.select("a", "b") if min_shared <= 1 else _shared(votes.select("a", "b"), member, min_shared)
-        asked = scratch.keep(asked, "asked")
+        met_now = turn.filter("class <> pivot_class and not (met and node = pivot)").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        asked = scratch.keep(met_now.distinct(), "asked")
         done = asked if done is None else done.unionByName(asked)
         new = _linked(asked, features)
         new = scratch.keep(new, "links")
@@ -247,8 +248,7 @@ def classes_of(scratch: Scratch, nodes: DataFrame, min_shared: int = MIN_SHARED)
     # Of the buckets still open, the pairs in different classes of which neither has met the bucket.
     x, y = classed.filter("not met").alias("x"), classed.filter("not met").alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.class") != F.col("y.class")))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    rest = rest.distinct() if min_shared <= 1 else _shared(rest.distinct(), member, min_shared)
+    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     rest = scratch.keep(rest.join(done, ["a", "b"], "left_anti"), "rest")
     more = scratch.keep(_linked(rest, features), "links")
     return classes if more.isEmpty() else _components(scratch, links.unionByName(more))
@@ -261,7 +261,7 @@ def _linked(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, "a binary, b binary, linked boolean").filter("linked").select("a", "b")
 
 
-def copies(images: DataFrame, id_column: str, image_column: str, grey=None, min_shared: int = MIN_SHARED) -> DataFrame:
+def copies(images: DataFrame, id_column: str, image_column: str, grey=None) -> DataFrame:
     """One row per row of ``images``: id, class_id (smallest id of the class), class_size.
 
     ``grey`` turns a value of ``image_column`` into grey pixels; by default it is
@@ -273,15 +273,9 @@ def copies(images: DataFrame, id_column: str, image_column: str, grey=None, min_
     rows = images.select(F.col(id_column).alias("id"), F.col(image_column).alias("image"))
     found = scratch.keep(rows.mapInArrow(_describe(grey), f"id {kind}, node binary, features binary, keys array<long>"), "found")
     nodes = scratch.keep(found.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("features").alias("features"), F.first("keys").alias("keys")), "nodes")
-    classes = classes_of(scratch, nodes, min_shared)
+    classes = classes_of(scratch, nodes)
     named = nodes.select("node", "id", "rows").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     per_class = named.groupBy("class").agg(F.min("id").alias("class_id"), F.sum("rows").alias("class_size"))
     named = named.join(per_class, "class").select("node", "class_id", "class_size")
     out = found.select("id", "node").join(named, "node", "left")
     return out.select(F.col("id").alias(id_column), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
-
-
-def _shared(pairs: DataFrame, member: DataFrame, least: int) -> DataFrame:
-    """The ``pairs`` (a, b) that share at least ``least`` buckets."""
-    left, right = member.select(F.col("node").alias("a"), "key"), member.select(F.col("node").alias("b"), "key")
-    return pairs.join(left, "a").join(right, ["b", "key"]).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("a", "b")

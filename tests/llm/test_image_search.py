@@ -44,3 +44,21 @@ def test_descriptors_within_the_limit_meet():
             codes = descriptors(rng, n)[1]
             met.append(len(np.intersect1d(image_copies.table_keys(codes), image_copies.table_keys(flipped(codes, bits, rng)))) > 0)
         assert np.mean(met) >= least, (n, bits)
+
+
+def test_one_shared_bucket_is_enough(spark):
+    rng = np.random.default_rng(7)
+    copy = descriptors(rng, 12)
+    assert classes(spark, [copy, copy, descriptors(rng, 12)], [[1], [1], [1]]) == [0, 0, 2]
+
+
+def test_few_corners():
+    """All of 5 to 7 corners must agree; fewer prove nothing."""
+    rng = np.random.default_rng(8)
+    for n in range(2, 9):
+        few, many, other = descriptors(rng, n), descriptors(rng, 30), descriptors(rng, 30)
+        many[0][:n], many[1][:n] = few
+        assert image_copies.is_copy(*few, few[0], flipped(few[1], 20, rng)) == (n >= 5)
+        assert not image_copies.is_copy(*few, *other)
+        if n >= 5:
+            assert image_copies.is_copy(*few, *many) and image_copies.is_copy(*many, *few)
