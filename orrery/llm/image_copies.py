@@ -170,8 +170,10 @@ def agreement(pa_: np.ndarray, ca: np.ndarray, pb: np.ndarray, cb: np.ndarray) -
 
 
 def is_copy(pa_: np.ndarray, ca: np.ndarray, pb: np.ndarray, cb: np.ndarray) -> bool:
+    """Whether enough matches agree in either direction; how far one may be off is counted in pixels of the second image."""
     fewer = min(len(pa_), len(pb))
-    return agreement(pa_, ca, pb, cb) >= max(min(MIN_AGREE, max(fewer, LEAST_AGREE)), MIN_PART * fewer)
+    need = max(min(MIN_AGREE, max(fewer, LEAST_AGREE)), MIN_PART * fewer)
+    return agreement(pa_, ca, pb, cb) >= need or agreement(pb, cb, pa_, ca) >= need
 
 
 def _pack(points: np.ndarray, codes: np.ndarray) -> bytes:

@@ -3,6 +3,7 @@
 import numpy as np
 
 from orrery.llm import image_copies
+from orrery.llm.queries import op1_image_copies
 from orrery.llm.scratch import Scratch
 
 
@@ -62,3 +63,33 @@ def test_few_corners():
         assert not image_copies.is_copy(*few, *other)
         if n >= 5:
             assert image_copies.is_copy(*few, *many) and image_copies.is_copy(*many, *few)
+
+
+def edited_grids():
+    """Pictures as square grids, a third of them with one corner pattern in common, and edited copies of each."""
+    rng = np.random.default_rng(9)
+    stamp, out = rng.random((5, 5)), []
+    for k in range(60):
+        x = rng.random((12, 12))
+        if k % 3 == 0:
+            x[2:7, 2:7] = stamp
+        out += [x, image_copies._resize(x, 9, 9), image_copies._resize(x, 14, 14)]
+        if k % 15 == 0:
+            out += [x + rng.normal(0, 0.06, x.shape), np.round(x * 4) / 4, np.rot90(x), x[:10, 2:]]
+    return out
+
+
+def test_query_against_all_pairs(spark, tmp_path):
+    """At least 0.9 of the links of all pairs, and no class that all pairs do not give."""
+    grids = [g.ravel().tolist() for g in edited_grids()]
+    spark.createDataFrame(list(enumerate(grids)), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.class_id for r in op1_image_copies(spark, str(tmp_path)).collect()}
+    found = [image_copies.corners(image_copies.grey_of_grid(g)) for g in grids]
+    links = [(i, j) for j in range(len(grids)) for i in range(j) if image_copies.is_copy(*found[i], *found[j])]
+    true = list(range(len(grids)))
+    for i, j in links:
+        true = [true[i] if c == true[j] else c for c in true]
+    together = [got[i] == got[j] for i, j in links]
+    print(len(links), "links,", sum(together), "found;", len(set(true)), "classes,", len(set(got.values())), "found")
+    assert len(links) > 40 and np.mean(together) >= 0.9
+    assert all(true[i] == true[c] for i, c in got.items())
