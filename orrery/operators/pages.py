@@ -85,10 +85,10 @@ def stated_times(html: str) -> dict[str, str | None]:
 FIELDS = ("published", "published_source", "modified", "modified_source")
 
 
-def page_times(pages: DataFrame, max_bytes: int = 2_000_000) -> DataFrame:
-    """page_id, published, published_source, modified, modified_source: times found in each page's first ``max_bytes`` characters.
+def page_times(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """page_id, published, published_source, modified, modified_source: times found in each page.
 
-    The bound is that of a page fetch; a page is parsed as far as it was fetched.
+    ``max_bytes``, for pages as a bounded fetch would give them: only that many first characters are parsed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
