@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import components
 from .scratch import Scratch
 from .words import U, counted, mix64, shingles, text_pieces, word_hashes, word_spans
 
@@ -173,26 +174,6 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(h), pa.binary()), pa.array(h.view(np.int64)), pa.array(w)], ["node", "h", "w"])
 
 
-def _components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """(node, class) for the nodes of undirected ``edges`` (a, b): smallest node of each component.
-
-    Every round each node takes the smallest class of its neighbours, then the
-    class of that class; long chains halve, so rounds are about log2 of the diameter.
-    """
-    both = scratch.keep(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "both")
-    labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("class")), "labels")
-    while True:
-        seen = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("class").alias("near"))
-        # A class that moves takes all that carry its name along.
-        moved = labels.join(seen, "node").select("node", F.col("class").alias("old"), F.least("class", "near").alias("class"))
-        hooks = moved.filter("old <> class").groupBy("old").agg(F.min("class").alias("to"))
-        hooked = moved.join(hooks.withColumnRenamed("old", "from"), F.col("class") == F.col("from"), "left").select("node", "old", F.least("class", F.coalesce("to", "class")).alias("class"))
-        new = scratch.keep(hooked, "labels")
-        if new.filter("old <> class").isEmpty():
-            return new.select("node", "class")
-        labels = new.select("node", "class")
-
-
 def _link(overlap, na, nb, threshold: float):
     return overlap >= threshold * (na + nb - overlap)
 
@@ -230,7 +211,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     measured = _compare(stars.select("a", "b"), bags).join(stars, ["a", "b"])
     measured = scratch.keep(measured.withColumn("linked", _link(F.col("overlap"), F.col("na"), F.col("nb"), threshold)), "measured")
     links = measured.filter("linked").select("a", "b")
-    classes = _components(scratch, links)
+    classes = components(scratch, links)
 
     # 2. Pairs of a bucket that are still in different classes and can reach the threshold.
     classed = member.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
@@ -253,7 +234,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     more = _compare(pairs.select("a", "b"), bags).join(pairs, ["a", "b"])
     more = scratch.keep(more.filter(_link(F.col("overlap"), F.col("na"), F.col("nb"), threshold)).select("a", "b"), "more")
     if not more.isEmpty():
-        classes = _components(scratch, links.unionByName(more))
+        classes = components(scratch, links.unionByName(more))
 
     # The result reads only the signed texts and the classes.
     for done in ("members", "candidates", "bags", "starred", "measured", "undecided", "able", "pairs", "more", "both"):
