@@ -7,7 +7,7 @@ proportion to the pooled frequencies, less ``CAUTION`` standard errors; tokens
 whose weight is not above 0 cost ``DRIFT`` each.  Occurrences count once for each
 pair of neighbouring tokens, so copies of a text do not vouch for its rare words.
 
-A linear scan finds all maximal scoring segments of a text.  By the theory of
+A scan in linear time finds all maximal scoring segments of a text.  By the theory of
 local alignment scores, n random tokens hold about n exp(-lambda S) segments of
 score S or more, where lambda makes exp(lambda score) average 1 over non-toxic
 labelled tokens.  The evidence of a text is -log of the chance count of its
@@ -15,7 +15,7 @@ segments together; its score is an extreme-value distribution function of the
 evidence, with location and scale fitted to the labels (a log-log regression).
 
 The weights come from at most ``SAMPLE`` labelled documents; only tokens of
-positive weight reach the driver.  All texts are scanned whole.  No label, lang,
+positive weight, and how often each such weight occurs, reach the driver.  All texts are scanned whole.  No label, lang,
 source or id enters a score.
 
 Defined results: null and empty texts score 0; without labels of both kinds every
@@ -34,6 +34,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,7 @@ DRIFT = 0.25
 #: Segments of an expected chance count above this are not passages.
 SIGNIFICANT = 1.0
 CUT = 0.5
+MEMO = 500_000
 
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -63,6 +65,19 @@ def stems(token: str) -> list[str]:
     return [token] + [token[:k] + "-" for k in STEMS if len(token) > k]
 
 
+class _Memo(dict):
+    """Weights of the tokens seen, forgotten when there are too many."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __missing__(self, token: str) -> float:
+        if len(self) >= MEMO:
+            self.clear()
+        found = self[token] = self.model.weight(token)
+        return found
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
@@ -70,6 +85,10 @@ class Model:
     location: float = 0.0
     scale: float = 1.0
 
+    def memo(self) -> dict[str, float]:
+        """token -> weight, looked up once for each token."""
+        return _Memo(self)
+
     def weight(self, token: str) -> float:
         """0 for a token without a positive weight."""
         get = self.weights.get
@@ -86,51 +105,59 @@ def maximal_segments(places: list[int], weights: list[float], drift: float) -> l
     """All maximal scoring segments as (first, end, score).
 
     ``places`` of tokens with positive ``weights``, ascending; every other token
-    scores -drift.  Each candidate keeps the running sums at both its ends; a new
-    one joins the nearest earlier candidate that began lower and ended lower.
+    scores -drift.  Each candidate keeps the running sums at both its ends and the
+    nearest earlier candidate that began lower.  A new one joins that candidate if it
+    ends higher; where there is none, all earlier candidates are final.  Links passed
+    once are not passed again, so the time is linear.
     """
-    found: list[list[float]] = []  # first, end, sum before, sum after
+    out: list[tuple[int, int, float]] = []
+    first, end, low, high, lower = [], [], [], [], []  # of the candidates
     total, previous = 0.0, 0
     for at, w in zip(places, weights):
         total -= drift * (at - previous)
-        new = [at, at + 1, total, total + w]
+        begin, before = at, total
         total += w
         previous = at + 1
+        j = len(low) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+            while j >= 0 and low[j] >= before:
+                j = lower[j]
+            if j < 0:
+                out += [(a, b, y - x) for a, b, x, y in zip(first, end, low, high)]
+                first, end, low, high, lower = [begin], [previous], [before], [total], [-1]
+                break
+            if high[j] >= total:
+                first.append(begin), end.append(previous), low.append(before), high.append(total), lower.append(j)
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
-            del found[j:]
-    return [(int(a), int(b), y - x) for a, b, x, y in found]
+            begin, before, below = first[j], low[j], lower[j]
+            del first[j:], end[j:], low[j:], high[j:], lower[j:]
+            j = below
+    return out + [(a, b, y - x) for a, b, x, y in zip(first, end, low, high)]
 
 
-def scan(model: Model, text: str) -> tuple[list[tuple[int, int, float]], int]:
+def scan(model: Model, text: str, memo: dict[str, float] | None = None) -> tuple[list[tuple[int, int, float]], int]:
     """Significant segments (in tokens), and the number of tokens."""
     words = tokens(text)
-    weight = model.weight
-    marked = [(i, w) for i, t in enumerate(words) if (w := weight(t))]
+    weight = (model.memo() if memo is None else memo).__getitem__
+    marked = [(i, w) for i, w in enumerate(map(weight, words)) if w]
     if not marked:
         return [], len(words)
     segments = maximal_segments([i for i, _ in marked], [w for _, w in marked], DRIFT)
     return [s for s in segments if model.chance(s[2], len(words)) <= SIGNIFICANT], len(words)
 
 
-def evidence(model: Model, text: str) -> tuple[float, int, int]:
+def evidence(model: Model, text: str, memo: dict[str, float] | None = None) -> tuple[float, int, int]:
     """(evidence, passages, tokens in them); without a passage the evidence is 0."""
-    segments, n = scan(model, text)
+    segments, n = scan(model, text, memo)
     # Of r chance segments, the sum has about n^r / r! times the tail of one.
     r = len(segments)
     total = model.decay * sum(s for _, _, s in segments) + math.lgamma(r + 1) - (r * math.log(n) if r else 0)
     return total, r, sum(b - a for a, b, _ in segments)
 
 
-def score(model: Model, text: str) -> tuple[float, int, int]:
+def score(model: Model, text: str, memo: dict[str, float] | None = None) -> tuple[float, int, int]:
     """(score, passages, tokens in them); without a passage the score is 0."""
-    found, r, k = evidence(model, text)
+    found, r, k = evidence(model, text, memo)
     return (model.calibrated(found) if r else 0.0), r, k
 
 
@@ -171,7 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most ``sample`` ids
     found = texts.mapInArrow(_occurrences, "token string, near long, label int").distinct()
     by_token = found.groupBy("token").agg(F.sum("label").cast("double").alias("y1"), F.sum(1 - F.col("label")).cast("double").alias("y0"))
-    by_token = Scratch(docs.sparkSession, "toxicity").keep(by_token, "tokens")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    by_token = scratch.keep(by_token, "tokens")
     sums = by_token.agg(F.sum("y1"), F.sum("y0")).first()
     n1, n0 = (sums[0] or 0.0), (sums[1] or 0.0)
     if not n1 or not n0:
@@ -186,8 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     weights = {r["token"]: round(r["weight"], 6) for r in counts.withColumn("weight", weight).filter("weight > 0").select("token", "weight").collect()}
     # What each token scores, and how often non-toxic texts have it; unseen there counts as half an occurrence.
     model = Model(weights)
-    known = by_token.filter(F.exists(forms, lambda f: f.isin(list(weights)))) if len(weights) < 500 else by_token
-    rates = [(w, max(r["y0"], 0.5) / n0) for r in known.toLocalIterator() if (w := model.weight(r["token"]))]
+    rated = by_token.mapInArrow(_rates(model), "weight double, y0 double").filter("weight > 0")
+    rates = [(r["weight"], r["y0"] / n0) for r in rated.groupBy("weight").agg(F.sum("y0").alias("y0")).orderBy("weight").collect()]  # as many as weights, at most
     low, high = 0.0, 50.0
     for _ in range(100):
         mid = (low + high) / 2
@@ -197,13 +225,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     model.decay = round(low, 6)
     pairs = sorted(map(tuple, texts.mapInArrow(_evidence_rows(model), "label int, evidence double").filter("evidence <> 0").collect()))
     model.location, model.scale = fit_extremes(np.array([e for _, e in pairs]), np.array([y for y, _ in pairs], float))
+    scratch.drop("tokens")
     return model
 
 
+def _rates(model: Model):
+    """token, y1, y0 -> weight, y0 (half an occurrence if none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weights = [model.weight(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(weights, pa.float64()), pc.max_element_wise(batch.column(2), 0.5)], ["weight", "y0"])
+
+    return run
+
+
 def _evidence_rows(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = model.memo()
         for batch in batches:
-            found = [round(evidence(model, t.as_py() or "")[0], 6) for t in batch.column(1)]
+            found = [round(evidence(model, t.as_py() or "", memo)[0], 6) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["label", "evidence"])
 
     return run
@@ -213,10 +254,11 @@ def classify(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted, n_passages, n_passage_tokens for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = model.memo()
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                out = [score(model, t.as_py() or "") for t in part.column(1)]
+                out = [score(model, t.as_py() or "", memo) for t in part.column(1)]
                 s, n, k = ([o[i] for o in out] for i in range(3))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.round(s, 6), pa.float64()), pa.array(n, pa.int64()), pa.array(k, pa.int64())], ["doc_id", "score", "n_passages", "n_passage_tokens"])
 
@@ -230,11 +272,12 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "first", "end", "score", "chance", "passage"]
+        memo = model.memo()
         for batch in batches:
             keep, rows = [], []
             for i, t in enumerate(batch.column(1)):
                 text = t.as_py() or ""
-                segments, n = scan(model, text)
+                segments, n = scan(model, text, memo)
                 spans = [m.span() for m in TOKEN.finditer(text.lower())] if segments else []
                 for a, b, s in segments:
                     keep.append(i)

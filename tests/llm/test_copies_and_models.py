@@ -1,6 +1,8 @@
 """Near-duplicates, images, HTML, classifiers and the pipeline."""
 
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -178,6 +180,61 @@ def test_segments_are_all_maximal_ones():
         assert [(a, b) for a, b, _ in got] == all_maximal(scores)
 
 
+def test_the_scan_takes_linear_time():
+    """Isolated tokens, none of which joins another: steps, not seconds, are counted."""
+
+    class Counted(float):
+        asked = 0
+
+        def __ge__(self, other):
+            Counted.asked += 1
+            return float(self) >= float(other)
+
+        __sub__ = __rsub__ = lambda self, other: Counted(float(self) - float(other))
+        __add__ = __radd__ = lambda self, other: Counted(float(self) + float(other))
+
+    steps = []
+    for n in (2_000, 20_000):
+        for drift, gap in ((1.0, 9), (0.0, 3)):
+            Counted.asked = 0
+            found = toxicity.maximal_segments([gap * i for i in range(n)], [Counted(1 + i % 7 / 9) for i in range(n)], drift)
+            assert drift == 0 or len(found) == n
+            steps.append(Counted.asked / n)
+    assert max(steps) < 8
+
+
+def test_weights_and_decay_by_brute_force(spark):
+    rows, labels, occurrences = [], [], set()
+    for k in range(120):
+        toxic = k % 3 == 0
+        words = prose("en", 40, 300 + k).replace(".", "").split() + (["vile", "vilest", "scum"] * 3 if toxic else ["vilely"] * (k == 1))
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+        if zlib.crc32(str(k).encode()) % 5:
+            occurrences |= {(w, a, b, toxic) for a, w, b in zip(["", *words], words, [*words[1:], ""])}
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    count = Counter((w, t) for w, _, _, t in occurrences)
+    n = {t: sum(c for (_, of), c in count.items() if of == t) for t in (True, False)}
+    forms = {t: Counter() for t in n}
+    for (w, t), c in count.items():
+        for form in toxicity.stems(w):
+            forms[t][form] += c
+    weights = {}
+    for form in forms[True] | forms[False]:
+        y1, y0 = forms[True][form], forms[False][form]
+        prior, mass = toxicity.PRIOR * (y1 + y0), toxicity.PRIOR * sum(n.values())
+        odds = lambda y, n: math.log((y + prior) / (n + mass - y - prior))  # noqa: B023, E731
+        w = odds(y1, n[True]) - odds(y0, n[False]) - toxicity.CAUTION * math.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
+        if w > 0:
+            weights[form] = round(w, 6)
+    assert model.weights == pytest.approx(weights) and "vile" in weights
+    tokens = {w for w, _ in count}
+    best = {w: max([0.0, *(weights.get(f, 0.0) for f in toxicity.stems(w))]) for w in tokens}
+    rate = {w: max(count[w, False], 0.5) / n[False] for w in tokens if best[w]}
+    mean = lambda decay: (1 - sum(rate.values())) * math.exp(-decay * toxicity.DRIFT) + sum(p * math.exp(decay * best[w]) for w, p in rate.items())
+    assert model.decay > 0 and abs(mean(model.decay) - 1) < 1e-4
+
+
 @pytest.mark.parametrize("label,module,least", [("quality", boosted, 0.9), ("toxic", toxicity, 0.8)])
 def test_held_out_labels(spark, label, module, least):
     folder = "/root/testdata/sf0.01"
