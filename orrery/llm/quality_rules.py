@@ -7,8 +7,12 @@ the counts of distinct vote patterns over *all* documents, estimates for every
 rule how often it votes each way on good and on bad texts; a document is kept
 when its posterior probability of being good reaches ``keep_at``.
 
-The pattern table has at most 3**8 rows whatever the size of the corpus.  The
-fit is one SQL expression over that table held as an array, so the plan has two
+Several rules look at the same kind of fault from different sides, so junk draws two
+or more bad votes; whether a single one is enough depends on the rule's estimated
+accuracy and on the other votes.
+
+The pattern table has at most 3**10 rows whatever the size of the corpus.  The
+fit is one SQL expression over that table held as an array, so the plan has
 one pass over the texts, one partial aggregation and no Python on the executors.
 
 Defined results: a null or empty text has no words, fails the base rules and is
@@ -30,24 +34,27 @@ WINDOW = 5
 
 #: (name, SQL over the statistics: good, SQL: bad).  Otherwise the rule abstains.
 RULES = [
-    ("symbols", "n_symbols <= 0.05 * n_words", "n_symbols > 0.5 * n_words"),
+    ("symbols", "n_symbols <= 0.05 * n_words", "n_symbols > 0.3 * n_words"),
+    ("symbol_share", "n_symbols <= 0.01 * word_chars", "n_symbols > 0.04 * word_chars"),
     ("exclaiming", "n_bangs <= 0.05 * n_words", "n_bangs > 0.3 * n_words"),
+    ("shouting", "n_upper <= 0.1 * word_chars", "n_upper > 0.3 * word_chars"),
     ("tables", "n_pipes <= 0.02 * n_words", "n_pipes > 0.2 * n_words"),
     ("word_length", "word_chars between 3 * n_words and 9 * n_words", "word_chars > 14 * n_words or word_chars < 2 * n_words"),
     ("repetition", "n_repeat_words <= 0.05 * n_words", "n_repeat_words > 0.2 * n_words"),
-    ("line_copies", "n_dup_lines <= 0.05 * n_lines", "n_dup_lines > 0.4 * n_lines"),
-    ("vocabulary", "n_words >= 30 and n_distinct > 0.35 * n_words", "n_words >= 30 and n_distinct < 0.15 * n_words"),
+    ("line_copies", "n_dup_lines <= 0.05 * n_lines", "n_dup_lines > 0.3 * n_lines"),
+    ("vocabulary", "n_words >= 30 and n_distinct > 0.35 * n_words", "n_words >= 30 and n_distinct < 0.2 * n_words"),
     ("length", "n_words >= 40", "n_words < 10"),
 ]
 
 ITERATIONS = 25
-#: First guess of P(votes bad | good text, voted) and P(votes bad | bad text, voted), and of P(good text).
-FIRST_GUESS = (0.001, 0.25)
+#: What a rule's author expects: P(votes bad | good text, voted) and P(votes bad | bad text, voted).  Also the first guess.
+EXPECTED = (0.01, 0.3)
+#: First guess of P(good text).
 FIRST_PRIOR = 0.9
-#: What a rule's author promises: of good texts, it calls at most this part bad.
-#: Without it, likelihood alone lets a frequent kind of junk count as good.
-MAX_FALSE_ALARM = 0.001
-#: Pseudo-counts that keep every estimated probability away from 0 and 1.
+#: How much that expectation weighs, as a part of the votes that the rule has cast; so it informs a corpus of any size alike.
+#: Without it, likelihood alone can let a frequent kind of junk count as good.
+TRUST = 0.02
+#: Pseudo-votes for what is expected, besides; they matter where a rule has hardly voted.
 SMOOTHING = 1.0
 
 
@@ -62,11 +69,12 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit("[" + SYMBOLS + "]")).alias("n_symbols"),
         (F.size(F.split("text", r"\|")) - 1).alias("n_pipes"),
         (F.size(F.split("text", "!")) - 1).alias("n_bangs"),
+        F.regexp_count("text", F.lit(r"\p{Lu}")).alias("n_upper"),
         F.filter(F.split("text", "\n"), has_word).alias("lines"),
         F.when(F.col("bare") == "", none).otherwise(F.split("bare", r"[\x20\x09-\x0D]+")).alias("words"),
     )
     hashed = words.select(
-        "doc_id", "n_symbols", "n_pipes", "n_bangs",
+        "doc_id", "n_symbols", "n_pipes", "n_bangs", "n_upper",
         F.length(F.array_join("words", "")).alias("word_chars"),
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
@@ -89,7 +97,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     # A repeated window at p covers words p .. p+4; count each word once.
     gaps = F.transform("p", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get("p", k + 1) - x, F.lit(WINDOW))))
     covered = F.coalesce(F.aggregate(gaps, F.lit(0), lambda a, g: a + g), F.lit(0))
-    as_long = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_pipes", "n_bangs", "n_distinct")
+    as_long = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_pipes", "n_bangs", "n_upper", "n_distinct")
     return spots.select("doc_id", *[F.col(c).cast("long").alias(c) for c in as_long], covered.cast("long").alias("n_repeat_words"))
 
 
@@ -103,18 +111,19 @@ def fit_label_model(votes: DataFrame, n_rules: int, iterations: int = ITERATIONS
     ``votes`` has an array column ``votes``.  Without any row the first guess comes back.
     """
     patterns = votes.groupBy("votes").agg(F.count("*").cast("double").alias("c"))
-    guess = f"named_struct('good', {FIRST_GUESS[0]}D, 'bad', {FIRST_GUESS[1]}D)"
+    guess = f"named_struct('good', {EXPECTED[0]}D, 'bad', {EXPECTED[1]}D)"
     first = f"named_struct('prior', {FIRST_PRIOR}D, 'rules', array_repeat({guess}, {n_rules}))"
     a = SMOOTHING
     table = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "c"))).alias("t"))
-    rate = lambda g: f"({a}D + {_sum('q', f'if(e.v[j] = -1, e.c * {g}, 0D)')}) / (2 * {a}D + {_sum('q', f'if(e.v[j] <> 0, e.c * {g}, 0D)')})"
+    trust = f"({a}D + {TRUST}D * {_sum('q', 'if(e.v[j] <> 0, e.c, 0D)')})"
+    rate = lambda g, expected: f"({expected}D * {trust} + {_sum('q', f'if(e.v[j] = -1, e.c * {g}, 0D)')}) / ({trust} + {_sum('q', f'if(e.v[j] <> 0, e.c * {g}, 0D)')})"
     step = f"""
       transform(array(s), s0 ->
         transform(array(transform(t, p -> named_struct('v', p.votes, 'c', p.c, 'g', {_posterior('s0', 'p.votes')}))), q ->
           named_struct(
             'prior', ({a}D + {_sum('q', 'e.c * e.g')}) / (2 * {a}D + {_sum('q', 'e.c')}),
             'rules', transform(sequence(0, {n_rules} - 1), j -> named_struct(
-              'good', least({MAX_FALSE_ALARM}D, {rate('e.g')}), 'bad', {rate('(1D - e.g)')})))
+              'good', {rate('e.g', EXPECTED[0])}, 'bad', {rate('(1D - e.g)', EXPECTED[1])})))
         )[0]
       )[0]"""
     return table.select(F.expr(f"if(size(t) > 0, aggregate(sequence(1, {iterations}), {first}, (s, i) -> {step}), {first})").alias("model"))

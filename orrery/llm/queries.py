@@ -97,7 +97,9 @@ def _quality_sql() -> str:
     odds = lambda m, v: f"ln({m}.prior / (1 - {m}.prior)) + " + " + ".join(
         f"case {v}[{j}] when 1 then ln((1 - {m}.good[{j}]) / (1 - {m}.bad[{j}])) when -1 then ln({m}.good[{j}] / {m}.bad[{j}]) else 0 end" for j in range(1, n + 1)
     )
-    rate = lambda j, g: f"({a} + sum(case when v[{j}] = -1 then c * {g} else 0 end)) / (2 * {a} + sum(case when v[{j}] <> 0 then c * {g} else 0 end))"
+    trust = lambda j: f"({a} + {quality_rules.TRUST} * sum(case when v[{j}] <> 0 then c else 0 end))"
+    rate = lambda j, g, e: f"({e} * {trust(j)} + sum(case when v[{j}] = -1 then c * {g} else 0 end)) / ({trust(j)} + sum(case when v[{j}] <> 0 then c * {g} else 0 end))"
+    expected = quality_rules.EXPECTED
     return rf"""
       with recursive d as (select row_number() over () as k, doc_id, coalesce(text, '') as text, {WORDS} as words from documents),
       win as (select k, p, words[p:p + {w - 1}] as five from (select k, words, unnest(range(1, len(words) - {w - 2})) as p from d where len(words) >= {w})),
@@ -106,16 +108,16 @@ def _quality_sql() -> str:
       st as (
         select k, doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars, len(list_distinct(words)) as n_distinct,
           length(text) - length(regexp_replace(text, '[{quality_rules.SYMBOLS}]', '', 'g')) as n_symbols, length(text) - length(replace(text, '|', '')) as n_pipes,
-          length(text) - length(replace(text, '!', '')) as n_bangs, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+          length(text) - length(replace(text, '!', '')) as n_bangs, length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) as n_upper, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
           coalesce(n_repeat_words, 0) as n_repeat_words from d left join cov using (k)),
       s2 as (select *, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines from st),
       s3 as (select *, [{votes}] as v from s2),
       pat as (select v, count(*)::double as c from s3 group by v),
       em as (
-        select 0 as i, {quality_rules.FIRST_PRIOR}::double as prior, [{', '.join([f'{quality_rules.FIRST_GUESS[0]}::double'] * n)}] as good, [{', '.join([f'{quality_rules.FIRST_GUESS[1]}::double'] * n)}] as bad
+        select 0 as i, {quality_rules.FIRST_PRIOR}::double as prior, [{', '.join([f'{expected[0]}::double'] * n)}] as good, [{', '.join([f'{expected[1]}::double'] * n)}] as bad
         union all
-        select i + 1, ({a} + sum(c * g)) / (2 * {a} + sum(c)), [{', '.join(f"least({quality_rules.MAX_FALSE_ALARM}::double, {rate(j, 'g')})" for j in range(1, n + 1))}],
-          [{', '.join(rate(j, '(1 - g)') for j in range(1, n + 1))}]
+        select i + 1, ({a} + sum(c * g)) / (2 * {a} + sum(c)), [{', '.join(rate(j, 'g', expected[0]) for j in range(1, n + 1))}],
+          [{', '.join(rate(j, '(1 - g)', expected[1]) for j in range(1, n + 1))}]
         from (select i, v, c, 1 / (1 + exp(-({odds('em', 'pat.v')}))) as g from em, pat where i < {quality_rules.ITERATIONS}) group by i),
       scored as (select s3.*, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, round(1 / (1 + exp(-({odds('em', 's3.v')}))), 6) as quality from s3, em where i = {quality_rules.ITERATIONS})
       select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, not base_failed and quality >= 0.5 as kept from scored"""

@@ -54,7 +54,18 @@ def test_label_model_finds_how_often_rules_fire(spark):
     votes = [[-1 if not g and rng.random() < p else (1 if rng.random() < 0.9 else 0) for p in (0.9, 0.8, 0.3)] for g in good]
     model = quality_rules.fit_label_model(spark.createDataFrame([(v,) for v in votes], "votes array<int>"), 3).first()[0]
     assert abs(model.prior - 0.7) < 0.05
-    assert all(abs(r.bad - p) < 0.08 and r.good <= 0.001 for r, p in zip(model.rules, (0.9, 0.8, 0.32)))
+    assert all(abs(r.bad - p) < 0.08 and r.good < 0.005 for r, p in zip(model.rules, (0.9, 0.8, 0.32)))
+
+
+def test_one_bad_vote_may_or_may_not_be_enough(spark):
+    """The posterior weighs votes: it neither needs all rules to pass nor lets any single fault pass."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    votes = quality_rules.text_statistics(docs).select("doc_id", F.array(*quality_rules.vote_columns()).alias("votes"))
+    bad = votes.select("doc_id", F.size(F.filter("votes", lambda v: v == -1)).alias("bad"))
+    seen = defaultdict(lambda: [0, 0])
+    for r in bad.join(quality_rules.judge(docs).select("doc_id", "quality"), "doc_id").groupBy("bad", (F.col("quality") >= 0.5).alias("good")).count().collect():
+        seen[r.bad][r.good] += r["count"]
+    assert seen[0][0] == 0 and min(seen[1]) > 10 and seen[3][1] == 0, dict(seen)
 
 
 def brute_targets(sizes, weights):
