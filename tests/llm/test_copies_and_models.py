@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -121,6 +122,63 @@ PAGES = {
 }
 
 
+LINE = "a paragraph of some ten words that nobody has marked"
+MISLEADING = {
+    "<article><p class='related-work'>what others did before</p></article>": "what others did before",
+    f"<div><p>{LINE}</p><li><a href=1>{LINE}</a></li></div>": LINE,
+    "<ul>" + "<li><a href=1>one item of a list</a>" * 6 + "</ul>": "",
+    f"<div class='with-sidebar'><p>{LINE}</p><p>{LINE}</p><p>{LINE}</p></div>": f"{LINE} {LINE} {LINE}",
+    f"<article><p>{LINE}</p><ul><li><a href=1>more</a><li><a href=2>of this</a><li><a href=3>to read</a></ul></article>": LINE,
+    f"<article><p>{LINE}</p><aside><p>{LINE}</p></aside><p>so</p></article>": f"{LINE} so",
+}
+
+
+def test_words_and_link_density_decide(spark):
+    tree = html_blocks.content_tree()
+    assert {page: html_blocks.main_text(page, tree) for page in MISLEADING} == MISLEADING
+    assert html_blocks.FEATURES[tree[0][0]] == "density"
+    assert html_blocks.main_text(f"<article>{f'<p>{LINE}' * 30_000}</article>", tree) == " ".join([LINE] * 30_000)
+
+
+class Plain(HTMLParser):
+    """Text inside article elements, without that of elements that are no article, by another parser."""
+
+    SKIP = "script style nav aside footer form noscript template iframe".split()
+
+    def __init__(self):
+        super().__init__()
+        self.article, self.skip, self.out = 0, [], [[]]
+
+    def handle_starttag(self, tag, attrs):
+        at = dict(attrs)
+        self.article += tag == "article"
+        if self.skip or tag in self.SKIP or at.get("class", "") in ("ad", "comments", "cookie-notice", "sidebar"):
+            self.skip += [] if tag in html_blocks.VOID_TAGS else [tag]
+        elif tag in html_blocks.BLOCK_TAGS:
+            self.out.append([])
+
+    def handle_endtag(self, tag):
+        if tag in self.skip:
+            del self.skip[len(self.skip) - 1 - self.skip[::-1].index(tag) :]
+        self.article -= tag == "article"
+        if tag in html_blocks.BLOCK_TAGS:
+            self.out.append([])
+
+    def handle_data(self, data):
+        if self.article and not self.skip:
+            self.out[-1].append(data)
+
+
+def test_pages_against_another_parser(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r.text for r in html_blocks.extract(pages).collect()}
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r.html or "")
+        plain.close()
+        assert got[r.page_id].split() == " ".join("".join(b) for b in plain.out).split(), r.page_id
+
+
 def test_pages(spark):
     f = spark.createDataFrame([(k, "u", h) for k, h in enumerate(PAGES)], "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
     got = {r.page_id: (r.text, r.n_chars) for r in html_blocks.extract(f).collect()}
