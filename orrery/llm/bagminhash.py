@@ -7,22 +7,24 @@ process whose points are thinned to the levels below the weight.  Two texts agre
 in a component with a probability equal to their weighted Jaccard similarity.
 
 Texts of one content are one node.  Nodes that share a band of components are
-compared, never as all pairs of a bucket:
+compared, but a bucket's texts never meet all at once:
 
 1. In each bucket every node meets the bucket's most connected node, the pivot.
    The multiset overlap is exact.  Links found make nodes one class.
 2. Of what remains, only pairs of a bucket in different classes can matter, and
    only if an exact bound on their overlap allows a link: overlap with the pivot
-   and shingles that occur in no other candidate bound it from above.  Those
-   pairs are compared too.  So no pair of a bucket is left undecided.
+   and shingles that occur in no other candidate bound it from above.  Numbers
+   alone decide that, without the texts; the pairs left are compared too.  So no
+   pair of a bucket is left undecided.
 
 Classes are the connected components of the links.  With ``ROWS`` x ``BANDS``
 components a pair of similarity 0.8 shares no bucket with probability 5e-6.
 
 Defined results: a text without words (null, empty) is a class of its own; a text
 of fewer than five words has one shingle of all its words; repeated rows and
-copies share a class; an empty table gives no rows; a null doc_id is kept and
-never names a class that has another; extra columns do not enter.
+copies share a class; a doc_id that occurs with several texts has a row for each; an
+empty table gives no rows; a null doc_id is kept and never names a class that has
+another; extra columns do not enter.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -113,7 +115,7 @@ def _sign(bands: int, rows: int):
                 keys = band_keys(sig, bands, rows)
                 lists = pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, n), pa.array(nodes, pa.binary()), pa.array(total), lists], ["doc_id", "node", "n", "bands"]
+                    [batch.column(0).slice(row, n), batch.column(2).slice(row, n), pa.array(nodes, pa.binary()), pa.array(total), lists], ["doc_id", "h", "node", "n", "bands"]
                 )
 
     return run
@@ -122,7 +124,7 @@ def _sign(bands: int, rows: int):
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, text -> node, bag: the sorted shingle hashes and, after them, their counts.
 
-    A text that is not the node's (a doc_id that several texts share) gives no row.
+    A text that is not the node's (should two texts share a hash) gives no row.
     """
     for batch in batches:
         for row, end, data, offsets in text_pieces(batch.column(1)):
@@ -178,33 +180,42 @@ def _link(overlap, na, nb, threshold: float):
     return overlap >= threshold * (na + nb - overlap)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of the class), class_size, n_copies (rows of the same content)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "bagminhash")
-    texts = docs.select("doc_id", "text")
-    signed = scratch.keep(texts.mapInArrow(_sign(bands, rows), "doc_id long, node binary, n long, bands array<long>"), "signed")
-
-    # Copies: one node per content.
-    contents = signed.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")
-    )
-    member = contents.select("node", "n", "doc_id", F.explode("bands").alias("key"))
-    size = F.count("*").over(Window.partitionBy("key"))
-    member = scratch.keep(member.withColumn("size", size).filter("size > 1"), "members")
-
-    candidates = member.groupBy("node").agg(F.first("doc_id").alias("doc_id"), F.sum("size").alias("degree"))
-    candidates = scratch.keep(candidates, "candidates")
+def _hashed(docs: DataFrame, *others: Column) -> DataFrame:
+    """doc_id, text and h, which with doc_id tells rows of different texts apart."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h"), *others)
+
+
+def _same_row(left: str, right: str) -> Column:
+    return (F.col(f"{left}.h") == F.col(f"{right}.h")) & F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id"))
+
+
+def _classes(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, node) for each row of ``docs``, and (node, class) for the linked nodes."""
+    scratch = Scratch(docs.sparkSession, "bagminhash")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    signed = _hashed(docs).mapInArrow(_sign(bands, rows), f"doc_id {kind}, h long, node binary, n long, bands array<long>")
+    signed = scratch.keep(signed, "signed")
+
+    # Copies: one node per content.  Of each, one row stands for it, a named one if there is any.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("row")
+    contents = signed.filter("node is not null").groupBy("node").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"))
+    contents = scratch.keep(contents, "contents")
+    keys = contents.select("node", "n", F.explode("bands").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    member = scratch.keep(keys.join(sizes, "key"), "members")
+    degrees = scratch.keep(member.groupBy("node").agg(F.sum("size").alias("degree")), "degrees")
+
     # Always by a shuffle: the candidates grow with the corpus, so a broadcast would only ever fit small ones.
-    source = texts.alias("t").hint("merge").join(candidates.alias("c"), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id"))).select("node", "text")
-    bags = scratch.keep(
-        source.mapInArrow(_bags, "node binary, bag binary").groupBy("node").agg(F.first("bag").alias("bag")), "bags"
-    )
+    candidates = contents.join(degrees, "node", "left_semi").select("node", "row.doc_id", "row.h")
+    source = _hashed(docs).alias("t").hint("merge").join(candidates.alias("c"), _same_row("t", "c")).select("node", "text")
+    bags = source.mapInArrow(_bags, "node binary, bag binary").groupBy("node").agg(F.first("bag").alias("bag"))
+    bags = scratch.keep(bags, "bags")
 
     # 1. Every node of a bucket against the most connected one.
-    central = F.max_by(F.struct("node", "n"), F.struct("degree", "node")).over(Window.partitionBy("key"))
-    member = member.drop("doc_id", "size").join(candidates.select("node", "degree"), "node").withColumn("pivot", central)
-    member = scratch.keep(member.select("key", "node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "starred")
+    member = member.drop("size").join(degrees, "node")
+    central = member.groupBy("key").agg(F.max(F.struct("degree", "node", "n")).alias("pivot"))
+    member = member.join(central, "key").select("key", "node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
+    member = scratch.keep(member, "starred")
     stars = member.filter("node <> pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.first("n").alias("na"), F.first("pivot_n").alias("nb"))
     # A length ratio below the threshold rules a link out without a look at the texts,
     # but the overlap is of use below; only those without it are spared.
@@ -219,11 +230,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     left = classed.join(mixed, "key").join(measured.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "overlap"), ["node", "pivot"], "left")
     left = scratch.keep(left.withColumn("with_pivot", F.coalesce("overlap", "n")).drop("overlap"), "undecided")
     open_bags = bags.join(left.select("node").distinct(), "node", "left_semi")
-    rows_of = open_bags.mapInArrow(_shingle_rows, "node binary, h long, w long")
-    elsewhere = F.count("*").over(Window.partitionBy("h")) > 1
-    shared = rows_of.withColumn("known", elsewhere).groupBy("node").agg(F.sum(F.when(F.col("known"), F.col("w")).otherwise(0)).alias("shared"))
+    rows_of = scratch.keep(open_bags.mapInArrow(_shingle_rows, "node binary, h long, w long"), "shingles")
+    common = rows_of.groupBy("h").agg(F.count("*").alias("texts")).filter("texts > 1").select("h")
+    shared = rows_of.join(common, "h").groupBy("node").agg(F.sum("w").alias("shared"))
     able = scratch.keep(left.join(shared, "node").filter(F.col("shared") >= threshold * F.col("n")), "able")
-    # With the largest class of the bucket as one side, a pair is met once from its smaller side.
     x, y = able.alias("x"), able.alias("y")
     bound = F.least("x.with_pivot", "y.with_pivot") + F.least(F.col("x.shared") - F.col("x.with_pivot"), F.col("y.shared") - F.col("y.with_pivot"))
     can = _link(bound, F.col("x.n"), F.col("y.n"), threshold)
@@ -236,28 +246,39 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     if not more.isEmpty():
         classes = components(scratch, links.unionByName(more))
 
-    # The result reads only the signed texts and the classes.
-    for done in ("members", "candidates", "bags", "starred", "measured", "undecided", "able", "pairs", "more", "both"):
-        scratch.drop(done)
+    # What follows reads only the rows with their nodes, and the classes.
+    scratch.drop("contents", "members", "degrees", "bags", "starred", "measured", "undecided", "shingles", "able", "pairs", "more")
+    found = scratch.keep(signed.select("doc_id", "h", "node"), "rows")
+    scratch.drop("signed")
+    return found, classes
+
 
-    named = contents.select("node", "doc_id", "copies").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of the class), class_size, n_copies (rows of the same content)."""
+    found, classes = _classes(docs, threshold, bands, rows)
+    contents = found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    named = contents.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     per_class = named.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = named.select("node", "class", "copies").join(per_class, "class").select("node", "class_id", "class_size", "copies")
-    out = signed.select("doc_id", "node").join(named, "node", "left")
+    out = found.select("doc_id", "node").join(named, "node", "left")
     return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
 
 
-def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with their columns, that stand for their class: the smallest doc_id.
+def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``docs``, with their columns, that stand for their class.
 
-    Of repeated rows one stays.  Rows without a doc_id cannot be named; of those,
-    every different text stays.
+    Of each class one row stays: that of the smallest doc_id, nulls last, then of the
+    smallest hash of the text, so it need not be named and its doc_id may occur with
+    other texts.  Rows equal in doc_id and text are one.  A text without words is
+    like no other; one row stays of each such text and doc_id.
     """
-    found = near_duplicates(docs, threshold)
-    keepers = found.filter("doc_id = class_id").groupBy(F.col("doc_id").alias("keep_id")).agg(F.count("*").alias("keep_rows"))
-    boxed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = boxed.join(keepers, F.col("doc_id") == F.col("keep_id"))
-    once = kept.filter("keep_rows = 1").select("row.*")
-    repeated = kept.filter("keep_rows > 1").dropDuplicates(["doc_id", "text"]).select("row.*")
-    unnamed = boxed.filter("doc_id is null").dropDuplicates(["text"]).select("row.*")
-    return once.unionByName(repeated).unionByName(unnamed)
+    found, classes = _classes(docs, threshold, bands, rows)
+    classed = found.join(classes, "node", "left").select("doc_id", "h", F.coalesce("class", "node").alias("class"))
+    each = classed.groupBy("class", "doc_id", "h").agg(F.count("*").alias("times"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", "times")
+    keepers = each.filter("class is not null").groupBy("class").agg(F.min(row).alias("row")).select("row.doc_id", "row.h", "row.times")
+    keepers = keepers.unionByName(each.filter("class is null").select("doc_id", "h", "times"))
+    boxed = _hashed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = boxed.alias("d").join(keepers.alias("k"), _same_row("d", "k")).select("d.doc_id", "d.h", "d.row", "k.times")
+    once = kept.filter("times = 1").select("row.*")
+    return once.unionByName(kept.filter("times > 1").dropDuplicates(["doc_id", "h"]).select("row.*"))

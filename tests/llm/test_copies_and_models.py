@@ -89,6 +89,39 @@ def test_one_document_a_class_and_repeated_rows(corpus):
     assert ids.count(20) == 1 and 200 not in ids and 201 not in ids
 
 
+def brute_distinct(rows):
+    """Rows (doc_id, text) that stay: of each class the smallest doc_id, nulls last; equal rows are one."""
+    at = list(range(len(rows)))
+    classes = dict(zip(at, [c for _, c in brute_classes([(i, t) for i, (_, t) in enumerate(rows)])]))
+    best = {}
+    for i, (d, t) in enumerate(rows):
+        key = classes[i] if bag(t) else ("none", d, t)
+        best[key] = min(best.get(key, (2, 0)), (d is None, d or 0))
+    return Counter((None if unnamed else d) for unnamed, d in best.values())
+
+
+def test_distinct_rows_with_repeated_and_null_ids(spark):
+    a, b, c = (prose("en", 80, 500 + k) for k in range(3))
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(5, a), (20, b), (20, a), (20, near), (None, near), (None, c), (None, c), (None, c + " x"), (7, None), (7, None), (None, ""), (8, ""), (30, b), (3, b), (3, b)]
+    f = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    stay = bagminhash.distinct_documents(f).collect()
+    assert Counter(r.doc_id for r in stay) == brute_distinct(rows) == Counter({5: 1, 3: 1, None: 2, 7: 1, 8: 1})
+    assert {r.text for r in stay if r.doc_id in (5, 3)} == {a, b} and sum(r.text is not None and r.text.startswith(c) for r in stay) == 1
+
+
+def test_a_third_of_all_rows_alike(spark):
+    """One group of copies, exact and near, without ids too, and one passage that all texts share."""
+    passage = prose("en", 30, 900)
+    base = prose("en", 100, 901)
+    rows = [(k, f"{base} tail{k % 7}") for k in range(80)] + [(None, base)] * 20
+    rows += [(1000 + k, f"{passage} {prose('en', 60, 1000 + k)}") for k in range(150)]
+    f = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = bagminhash.near_duplicates(f).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == sorted(brute_classes(rows), key=str)
+    assert Counter(r.doc_id for r in bagminhash.distinct_documents(f).collect()) == brute_distinct(rows)
+
+
 def test_images(spark):
     rng = np.random.default_rng(2)
 
