@@ -107,7 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     """Fit on at most ``sample`` labelled documents (a sampled id that repeats in ``docs`` counts each time, up to that bound)."""
     chosen = label_sample(labels, label, sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most ``sample`` ids
-    rows = texts.mapInArrow(_statistics_rows, "label int, x array<float>").limit(sample).toArrow()
+    described = texts.mapInArrow(_statistics_rows, "label int, x array<float>")
+    rows = described.orderBy(F.xxhash64("x", "label")).limit(sample).toArrow()  # the same rows in every run
     x = np.array(rows.column("x").to_pylist(), np.float32).reshape(-1, len(NAMES))
     y = np.asarray(rows.column("label").to_pylist(), float)
     order = np.lexsort([*x.T, y])  # rows arrive in no fixed order

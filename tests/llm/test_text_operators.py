@@ -195,3 +195,36 @@ def test_held_out_language_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = hyperlang.identify(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+
+
+@pytest.mark.parametrize("left_out", ["fr", "de"])
+def test_a_language_that_was_never_learned_goes(spark, left_out):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null and length(text) >= 200").withColumn("true", F.col("lang"))
+    docs = docs.withColumn("lang", F.when(F.col("lang") != left_out, F.col("lang")))
+    before = Counter(r.true for r in docs.collect())
+    after = Counter(r.true for r in hyperlang.spoken_documents(docs).collect())
+    assert after[left_out] <= 0.1 * before[left_out], (before, after)
+    assert all(after[k] >= 0.99 * n for k, n in before.items() if k != left_out), (before, after)
+
+
+def test_bundles_and_cosines_by_brute_force(spark, corpus):
+    """Windows bundled one by one, and every cosine, in plain loops; ties go to the smaller name."""
+    d = 256
+
+    def slow(text):
+        letters = "".join(c if c.isalpha() else "\0" for c in text.lower())
+        letters = "\0" + re.sub("\0+", "\0", letters).strip("\0") + "\0"
+        total = np.zeros(d)
+        for a, b, c in zip(letters, letters[1:], letters[2:]):
+            if b != "\0":
+                x, y, z = hyperlang.letter_vectors(np.array([ord(a), ord(b), ord(c)], np.uint32), d).astype(float)
+                total += np.roll(x, 2) * np.roll(y, 1) * z
+        return total
+
+    texts = [r.text for r in corpus.select("text").collect() if r.text and len(r.text) < 5000]
+    got, has = hyperlang.bundles(texts, d)
+    for text, vector, ok in zip(texts, got, has):
+        assert ok == any(c.isalpha() for c in text)
+        assert not ok or np.allclose(vector, slow(text)), text[:40]
+    same = spark.createDataFrame([(k, "equal words here", lang, None) for k, lang in enumerate(["b", "a"] * 20)], "doc_id long, text string, lang string, source string")
+    assert {r.lang_pred for r in hyperlang.identify(same).collect()} == {"a"}
