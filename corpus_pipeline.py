@@ -13,18 +13,14 @@ from orrery.llm import bagminhash, bpe, hyperlang, mixture, quality_rules
 from orrery.llm.scratch import Scratch
 
 
-#: Cosine with the best prototype; texts of a few letters have about 0.1 and more.
-MIN_LANGUAGE_SCORE = 0.05
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.kept_documents(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the prototypes recognise at all."""
-    return hyperlang.spoken_documents(docs, MIN_LANGUAGE_SCORE)
+    """Documents close enough to the prototype of a learned language."""
+    return hyperlang.spoken_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; a stage's table is deleted once the next one is written, the last one when the session ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
+    done = None
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if done:
+            scratch.drop(done)
+        done = name
     return STAGES[-1][1](spark, docs, sf_dir)
