@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._columns import col
+from ._columns import SPACES, col
 
-#: Fixed words and suffixes that mark securities other than shares.
-NON_EQUITY_WORDS = ("warrant", "right", "unit")
-NON_EQUITY_MARKS = ("-WT", "-WS", "-W", "-R", "-U")
+#: Words, after a blank, and marks in a ticker of securities other than shares.
+NON_EQUITY_WORDS = (" warrant", " warrants", " right", " rights", " unit", " units")
+NON_EQUITY_MARKS = ("-WT", "-WS", "-W", "-RT", "-RW", "-R", "-U", "-UN")
 
 
 def normalize_symbol(c) -> Column:
-    return F.upper(F.trim(col(c)))
+    return F.upper(F.btrim(col(c), F.lit(SPACES)))
 
 
 def exchange_of(c) -> Column:
@@ -36,13 +38,11 @@ def on_exchange(c, allowed) -> Column:
 
 
 def is_non_equity(symbol, name, words=NON_EQUITY_WORDS, marks=NON_EQUITY_MARKS) -> Column:
-    """A warrant, right or unit, by words in its name or marks anywhere in its base symbol."""
-    low, base = F.lower(F.coalesce(col(name), F.lit(""))), base_symbol(normalize_symbol(symbol))
-    tests = [F.contains(low, F.lit(w)) for w in words] + [F.contains(base, F.lit(m)) for m in marks]
-    any_of = tests[0]
-    for t in tests[1:]:
-        any_of = any_of | t
-    return any_of
+    """A warrant, right or unit: by a word that begins so in ticker and name, or by marks in the ticker."""
+    ticker = normalize_symbol(symbol)
+    text = F.lower(F.concat_ws(" ", ticker, F.coalesce(col(name), F.lit(""))))
+    tests = [F.contains(text, F.lit(w)) for w in words] + [F.contains(ticker, F.lit(m)) for m in marks]
+    return reduce(Column.__or__, tests)
 
 
 def aliases(stem) -> Column:

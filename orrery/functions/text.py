@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._columns import col
+from ._columns import SPACES, col
 
 #: Fixed patterns.
 URL = r"https?://\S+|www\.\S+"
@@ -15,7 +17,7 @@ ANSWER_PATTERNS = ((r"\bINSUF[A-Z_]*", "UNKNOWN"), (r"\bSHORT\b", "NO"), (r"\bLO
 
 
 def _clean(c) -> Column:
-    return F.trim(F.coalesce(col(c), F.lit("")))
+    return F.btrim(F.coalesce(col(c), F.lit("")), F.lit(SPACES))
 
 
 def strip_urls(c) -> Column:
@@ -40,14 +42,14 @@ def truncated(c, n: int) -> Column:
 
 def is_title_only(title, content) -> Column:
     """There is a title, and no content beyond it."""
-    return (_clean(title) != "") & ((strip_urls(content) == "") | (strip_urls(content) == _clean(title)))
+    return (_clean(title) != "") & ((strip_urls(content) == "") | (_clean(content) == _clean(title)) | (strip_urls(content) == _clean(title)))
 
 
 def length_reason(text, symbol, published, least: int = 100, most: int = 100_000) -> Column:
     """The first reason against an article (missing_symbol, invalid_date, too_short, too_long), or null."""
     n = F.length(col(text))
     return (
-        F.when(F.coalesce(F.trim(col(symbol)), F.lit("")) == "", "missing_symbol")
+        F.when(_clean(symbol) == "", "missing_symbol")
         .when(col(published).isNull(), "invalid_date")
         .when(n < least, "too_short")
         .when(n > most, "too_long")
@@ -55,14 +57,14 @@ def length_reason(text, symbol, published, least: int = 100, most: int = 100_000
 
 
 def normalize_label(c) -> Column:
-    up = F.upper(F.trim(F.coalesce(col(c), F.lit(""))))
+    up = F.upper(F.btrim(F.coalesce(col(c), F.lit("")), F.lit(SPACES)))
     return F.when(up.isin(*LABELS), up).otherwise("UNKNOWN")
 
 
 def first_line(c) -> Column:
     """The first line that is not blank, trimmed, in capitals; empty if there is none."""
-    lines = F.filter(F.split(F.coalesce(col(c), F.lit("")), r"\r?\n"), lambda x: F.trim(x) != "")
-    return F.upper(F.trim(F.coalesce(F.get(lines, 0), F.lit(""))))
+    lines = F.filter(F.split(F.coalesce(col(c), F.lit("")), r"\r\n|\r|\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    return F.upper(F.btrim(F.coalesce(F.get(lines, 0), F.lit("")), F.lit(SPACES)))
 
 
 def answer_label(c, accept_yes_no: bool = False) -> Column:
@@ -76,19 +78,63 @@ def answer_label(c, accept_yes_no: bool = False) -> Column:
     return F.array_min(F.array_compact(F.array(*places)))["label"]
 
 
-def prompt(system: str, instruction: str, after: str, news) -> Column:
-    """Instruction, article and closing words, under a system line."""
-    return F.concat(F.lit(f"{system}\n\n{instruction}\n\n"), F.coalesce(col(news), F.lit("")), F.lit(f"\n\n{after}"))
+#: What the models are asked.
+SYSTEM_PROMPT = "You are a financial expert."
+LABEL_INSTRUCTION = (
+    'Answer "YES" if good news, "NO" if bad news, or "UNKNOWN" if uncertain in the first line. '
+    "Then elaborate with one short and concise sentence on the next line."
+)
+POSITION_TEMPLATE = (
+    "Choose a trading position for {ticker} for the next trading day after the {subject} below is released.\n\n"
+    'Your first word must be exactly one of: "LONG", "SHORT", or "INSUFFICIENT_INFORMATION".\n'
+    'Choose "LONG" if you would take a long position because the {subject} is likely to move {ticker}\'s stock price up over the next trading day.\n'
+    'Choose "SHORT" if you would take a short position because the {subject} is likely to move {ticker}\'s stock price down over the next trading day.\n'
+    'Choose "INSUFFICIENT_INFORMATION" if the {subject} does not provide enough stock-specific evidence for a directional trading position.\n\n'
+    "Focus only on information materially relevant to {ticker}'s near-term stock return. "
+    "Ignore generic market commentary, promotional language, and background information.\n\n"
+    "{news}"
+)
+CHAT_TEMPLATE = "<s>[INST] <<SYS>>\n{system}\n<</SYS>>\n\n{user} [/INST]"
+
+
+def _filled(template: str, **values: Column) -> Column:
+    """``template`` with columns in place of its names in braces."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x] if k % 2 else F.lit(x) for k, x in enumerate(parts) if x])
+
+
+def _news(title, content, n: int) -> Column:
+    """Title, blank line and at most ``n`` characters of the content without links; the title alone if there is no more."""
+    return _clean(F.concat(_clean(title), F.lit("\n\n"), F.when(is_title_only(title, content), "").otherwise(truncated(strip_urls(content), n))))
+
+
+def _subject(title, content) -> Column:
+    return F.when(is_title_only(title, content), "news title").otherwise("news")
+
+
+def label_prompt(title, content, n: int, instruction: str = LABEL_INSTRUCTION, after: str = "") -> Column:
+    """Instruction and article; ``after`` (with {subject} in it) closes it, if given."""
+    body = _news(title, content, n)
+    if after:
+        body = _clean(F.concat(body, F.lit("\n\n"), _filled(after, subject=_subject(title, content))))
+    return _clean(F.concat(F.lit(f"{instruction}\n"), body))
+
+
+def position_prompt(symbol, title, content, n: int) -> Column:
+    """The question for a trading position in ``symbol``."""
+    ticker = F.upper(_clean(symbol))
+    ticker = F.when(ticker == "", "the stock").otherwise(ticker)
+    return _filled(POSITION_TEMPLATE, ticker=ticker, subject=_subject(title, content), news=_news(title, content, n))
 
 
-def chat(system: str, user) -> Column:
-    """The plain form of a chat for models without a template of their own."""
-    return F.concat(F.lit(f"System: {system}\n\nUser: "), col(user), F.lit("\n\nAssistant:"))
+def chat(user, system: str = SYSTEM_PROMPT) -> Column:
+    """The form of a chat for models without a template of their own."""
+    return _filled(CHAT_TEMPLATE, system=F.lit(system), user=col(user))
 
 
 def symbol_list(c) -> Column:
     """Trimmed capitals of an array of symbols, without blanks."""
-    up = F.transform(F.coalesce(col(c), F.array().cast("array<string>")), lambda x: F.upper(F.trim(x)))
+    up = F.transform(F.coalesce(col(c), F.array().cast("array<string>")), lambda x: F.upper(F.btrim(x, F.lit(SPACES))))
     return F.filter(up, lambda x: x.isNotNull() & (x != ""))
 
 

@@ -26,7 +26,7 @@ def any_timestamp(c) -> Column:
     return F.coalesce(
         F.when(s.rlike(r"^\d{10}$"), F.timestamp_seconds(digits)),
         F.when(s.rlike(r"^\d{13}$"), F.timestamp_millis(digits)),
-        F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(s)),
+        F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.regexp_replace(s, r"^(\S{10}[T ]\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2})$", "$1:00$2"))),
         F.when(numeric.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$"), F.try_to_timestamp(numeric, F.lit("d MMM yyyy HH:mm:ss Z"))),
     )
 

@@ -109,4 +109,5 @@ def near_rows(bars: DataFrame, targets: DataFrame, distance: int = 3) -> DataFra
     """Bars within ``distance`` rows of each target (symbol, target_date), with their signed offset."""
     numbered = bars.withColumn("row", F.row_number().over(by_day()))
     at = numbered.join(targets, ["symbol"]).filter(F.col("trade_date") == F.col("target_date")).select("symbol", "target_date", F.col("row").alias("at"))
-    return numbered.join(at, "symbol").filter(F.abs(F.col("row") - F.col("at")) <= distance).withColumn("offset", F.col("row") - F.col("at")).drop("row", "at")
+    wanted = at.withColumn("offset", F.explode(F.sequence(F.lit(-distance), F.lit(distance)))).withColumn("row", F.col("at") + F.col("offset"))
+    return numbered.join(wanted, ["symbol", "row"]).drop("row", "at")

@@ -31,21 +31,15 @@ def query(f: Callable) -> Callable:
     return f
 
 
+#: A day's net return below this is a loss to look at.
+LOSS = -0.005
+
+
 def r6(c, digits: int = 6) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.round(c, digits)
 
 
-def off_tie(c: str, digits: int) -> Column:
-    """Rounded after a shift that no sum of the tables' decimal numbers ends on; engines differ on exact ties."""
-    return F.round(F.col(c) + F.lit(0.000012345), digits)
-
-
-def slog(c: str, digits: int = 4) -> Column:
-    """sign(x) log(1 + |x|): the tables' random prices compound to numbers of hundreds of digits."""
-    return F.round(F.signum(F.col(c)) * F.log1p(F.abs(F.col(c))), digits)
-
-
 @query
 def daily_bars(spark, d):
     return T.bars(spark, d).select("symbol", "trade_date", "open", "close", "volume")
@@ -53,7 +47,7 @@ def daily_bars(spark, d):
 
 @query
 def bar_statistics(spark, d):
-    return T.market(spark, d).select("symbol", "trade_date", "prev_close", off_tie("adv", 2).alias("adv"), "eligible")
+    return T.market(spark, d).select("symbol", "trade_date", "prev_close", r6("adv").alias("adv"), "eligible")
 
 
 @query
@@ -120,19 +114,19 @@ def _daily(spark, d) -> DataFrame:
 @query
 def backtest_daily(spark, d):
     out = _daily(spark, d)
-    rounded = [off_tie(c, 6).alias(c) for c in ("gross_ret", "turnover", "cost", "net_ret", "leverage", "gross_leverage")]
+    rounded = [r6(c, 12).alias(c) for c in ("gross_ret", "turnover", "cost", "net_ret", "leverage", "gross_leverage")]
     return out.select("strategy", "trade_date", *rounded, "n_long", "n_short")
 
 
 @query
 def backtest_performance(spark, d):
     out = R.performance(_daily(spark, d))
-    return out.select("strategy", *[slog(c).alias(c) for c in ("total_return", "ann_return", "ann_vol", "sharpe", "max_drawdown")], "n_days")
+    return out.select("strategy", *[r6(c).alias(c) for c in ("total_return", "ann_return", "ann_vol", "sharpe", "max_drawdown")], "n_days")
 
 
 @query
 def equity_path(spark, d):
-    return R.with_equity(_daily(spark, d)).select("strategy", "trade_date", slog("equity").alias("equity"), slog("drawdown").alias("drawdown"))
+    return R.with_equity(_daily(spark, d)).select("strategy", "trade_date", r6("equity").alias("equity"), r6("drawdown").alias("drawdown"))
 
 
 @query
@@ -158,7 +152,7 @@ def drifted_weights(spark, d):
 
 @query
 def size_breakpoints(spark, d):
-    return Z.breakpoints(Z.previous_caps(T.caps(spark, d))).select("trade_date", off_tie("breakpoint", 2).alias("breakpoint"), "n_symbols")
+    return Z.breakpoints(Z.previous_caps(T.caps(spark, d))).select("trade_date", r6("breakpoint").alias("breakpoint"), "n_symbols")
 
 
 def _members(spark, d) -> DataFrame:
@@ -173,7 +167,7 @@ def size_membership(spark, d):
 
 @query
 def size_bucket_returns(spark, d):
-    return Z.bucket_returns(_members(spark, d)).select("size_bucket", "trade_date", r6("ret").alias("ret"), "n_names", off_tie("total_cap", 1).alias("total_cap"))
+    return Z.bucket_returns(_members(spark, d)).select("size_bucket", "trade_date", r6("ret").alias("ret"), "n_names", r6("total_cap", 4).alias("total_cap"))
 
 
 @query
@@ -206,9 +200,14 @@ def drop_reasons(spark, d):
 
 @query
 def prompts(spark, d):
-    c = T.table(spark, d, "conversations")
-    p = X.chat("You are a financial expert.", X.prompt("Read.", "Is this good?", "Answer LONG or SHORT.", X.truncated("text", 200)))
-    return c.select("conv_id", "turn", F.md5(p).alias("prompt_md5"))
+    a = T.articles(spark, d)
+    after = "The above is the {subject}. Please choose a trading position."
+    return a.select("doc", F.md5(X.chat(X.label_prompt("title", "text", 200))).alias("prompt_md5"), F.md5(X.label_prompt("title", "title", 200, after=after)).alias("closed_md5"))
+
+
+@query
+def position_prompts(spark, d):
+    return T.articles(spark, d).select("doc", F.md5(X.position_prompt("symbol", "title", "text", 300)).alias("prompt_md5"))
 
 
 def _answers(spark, d) -> DataFrame:
@@ -354,20 +353,20 @@ def page_times(spark, d):
 @query
 def baseline_path(spark, d):
     one = T.bars(spark, d).filter("symbol like 'S1.%'")
-    return B.baseline(one).select("trade_date", r6("ret").alias("ret"), slog("equity").alias("equity"))
+    return B.baseline(one).select("trade_date", r6("ret").alias("ret"), r6("equity").alias("equity"))
 
 
 @query
 def strategy_against_baseline(spark, d):
     base = B.baseline(T.bars(spark, d).filter("symbol like 'S1.%'"))
-    return R.against_baseline(_daily(spark, d), base).select("strategy", "trade_date", slog("equity").alias("equity"), slog("baseline_equity").alias("baseline_equity"))
+    return R.against_baseline(_daily(spark, d), base).select("strategy", "trade_date", r6("equity").alias("equity"), r6("baseline_equity").alias("baseline_equity"))
 
 
 @query
 def loss_day_summary(spark, d):
     stats, signals = T.market(spark, d), T.signals(spark, d)
     targets = S.all_targets(signals, MIN_POOL, MIN_SHORT)
-    days = G.loss_days(_daily(spark, d), -0.5)
+    days = G.loss_days(_daily(spark, d), LOSS)
     out = G.summary(G.contributions(targets, signals, stats, days))
     return out.select("strategy", "trade_date", "n_long", "n_short", r6("total").alias("total"), "worst_symbol", r6("worst_contribution").alias("worst_contribution"))
 

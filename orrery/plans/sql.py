@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.text import LABEL_INSTRUCTION, POSITION_TEMPLATE
+
 _SYMBOL = "'S' || s_suppkey || case when s_nationkey % 2 = 0 then '.NYSE' else '.NASDAQ' end"
 
 #: name -> (sub-queries it reads, SQL)
@@ -9,14 +11,15 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "sym": ((), f"select s_suppkey as l_suppkey, {_SYMBOL} as symbol, s_acctbal from supplier"),
     "bars": (("sym",), """
         select symbol, trade_date, first(p order by l_orderkey, l_linenumber, p) as open, last(p order by l_orderkey, l_linenumber, p) as close, sum(l_quantity) as volume
-        from (select *, l_extendedprice / l_quantity as p, cast(l_shipdate as date) as trade_date from lineitem) join sym using (l_suppkey) group by symbol, trade_date"""),
+        from (select *, 1000::double + floor(l_extendedprice / l_quantity) / 100::double as p, cast(l_shipdate as date) as trade_date from lineitem) join sym using (l_suppkey) group by symbol, trade_date"""),
     "raw": (("bars",), """
         select *, count(*) over (partition by symbol) as n_rows, lag(close) over w as prev_close,
           case when count(close * volume) over p = 20 then avg(close * volume) over p end as adv,
           coalesce(case when open > 0 and lead(open) over w > 0 and volume > 0 and lead(volume) over w > 0 then lead(open) over w / open - 1 end, 0) as ret,
           case when open > 0 and lead(open) over w > 0 then lead(open) over w / open - 1 end as fwd_ret
         from bars window w as (partition by symbol order by trade_date), p as (partition by symbol order by trade_date rows between 20 preceding and 1 preceding)"""),
-    "mkt": (("raw",), "select *, coalesce(open > 0 and prev_close >= 1.0 and adv >= 60000, false) as eligible from raw where n_rows >= 25"),
+    "numbered": (("bars",), "select *, row_number() over (partition by symbol order by trade_date) as r from bars"),
+    "mkt": (("raw",), "select *, coalesce(open > 0 and prev_close >= 1.0 and adv >= 45000, false) as eligible from raw where n_rows >= 25"),
     "cal": (("bars",), """
         select symbol, trade_date, cutoff, lag(cutoff) over w as window_open, lag(shut) over w as night_open from (
           select distinct symbol, trade_date, (trade_date + interval 9 hour) at time zone 'America/New_York' at time zone 'UTC' as cutoff,
@@ -129,12 +132,18 @@ def _weights(n: int = 64) -> str:
     return "[" + ", ".join(str((k % 5 - 2) / 10) for k in range(n)) + "]"
 
 
-_SLOG = "round(sign({0}) * ln(1 + abs({0})), 4)"
+_R6 = "round({0}, 6)"
 _STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
+_quoted = lambda text: "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+_LABEL = _quoted(LABEL_INSTRUCTION)
+_POSITION = _quoted(POSITION_TEMPLATE.format(ticker="<ticker>", subject="<subject>", news="<news>"))
+_TITLE_ONLY = "(t <> '' and (bare = '' or bare = t or c = t))"
+_NEWS = "trim(t || chr(10) || chr(10) || case when " + _TITLE_ONLY + " then '' else substr(bare, 1, {0}) end, ' ' || chr(9) || chr(10) || chr(13))"
+
 SQL: dict[str, str] = {
     "daily_bars": _with("select symbol, trade_date, open, close, volume from bars", "bars"),
-    "bar_statistics": _with("select symbol, trade_date, prev_close, round(adv + 0.000012345, 2) as adv, eligible from mkt", "mkt"),
+    "bar_statistics": _with("select symbol, trade_date, prev_close, round(adv, 6) as adv, eligible from mkt", "mkt"),
     "open_returns": _with("select symbol, trade_date, round(ret, 6) as ret, round(fwd_ret, 6) as fwd_ret from mkt", "mkt"),
     "trading_windows": _with(f"select symbol, trade_date, {_STAMP.format('window_open')} as window_open, {_STAMP.format('cutoff')} as cutoff, {_STAMP.format('night_open')} as night_open from cal where window_open is not null", "cal"),
     "event_days": _with("select event_id, ev.symbol, trade_date from ev join evcal on ev.symbol = evcal.symbol and ts > window_open and ts <= cutoff", "ev", "evcal"),
@@ -148,18 +157,18 @@ SQL: dict[str, str] = {
           select *, floor(n * 0.3::double) as k from (select *, row_number() over (partition by trade_date order by pred, symbol) as r, count(*) over (partition by trade_date) as n from pred where eligible))
         where n >= 3 and k >= 1 and (r > n - k or r <= k)""", "pred"),
     "pool_counts": _with("select trade_date, count(*) as n_pool, count(*) filter (strict_long) as n_long, count(*) filter (strict_short) as n_short from sig where eligible group by trade_date", "sig"),
-    "backtest_daily": _with("select strategy, trade_date, " + ", ".join(f"round({c} + 0.000012345, 6) as {c}" for c in ("gross_ret", "turnover", "cost", "net_ret", "leverage", "gross_leverage")) + ", n_long, n_short from daily", "daily"),
+    "backtest_daily": _with("select strategy, trade_date, " + ", ".join(f"round({c}, 12) as {c}" for c in ("gross_ret", "turnover", "cost", "net_ret", "leverage", "gross_leverage")) + ", n_long, n_short from daily", "daily"),
     "backtest_performance": _with(f"""
-        select strategy, {_SLOG.format('total')} as total_return, {_SLOG.format('(case when total > -1 then (1 + total) ** (252.0 / n) - 1 else -1 end)')} as ann_return, {_SLOG.format('vol')} as ann_vol,
-          {_SLOG.format('(m * 252 / nullif(vol, 0))')} as sharpe, {_SLOG.format('dd')} as max_drawdown, n as n_days
+        select strategy, {_R6.format('total')} as total_return, {_R6.format('(case when total > -1 then (1 + total) ** (252.0 / n) - 1 else -1 end)')} as ann_return, {_R6.format('vol')} as ann_vol,
+          {_R6.format('(m * 252 / nullif(vol, 0))')} as sharpe, {_R6.format('dd')} as max_drawdown, n as n_days
         from (select strategy, product(1 + net_ret) - 1 as total, avg(net_ret) as m, stddev_samp(net_ret) * sqrt(252) as vol, min(drawdown) as dd, count(*) as n from path group by strategy)""", "path"),
-    "equity_path": _with(f"select strategy, trade_date, {_SLOG.format('equity')} as equity, {_SLOG.format('drawdown')} as drawdown from path", "path"),
+    "equity_path": _with(f"select strategy, trade_date, {_R6.format('equity')} as equity, {_R6.format('drawdown')} as drawdown from path", "path"),
     "trailing_volatility": _with("""
         select strategy, trade_date, round(case when count(net_ret) over w >= 20 then stddev_samp(net_ret) over w * sqrt(252) end, 6) as vol_est_ann from daily
         window w as (partition by strategy order by trade_date rows between 63 preceding and 1 preceding)""", "daily"),
-    "size_breakpoints": _with("select trade_date, round(breakpoint + 0.000012345, 2) as breakpoint, n_symbols from points", "points"),
+    "size_breakpoints": _with("select trade_date, round(breakpoint, 6) as breakpoint, n_symbols from points", "points"),
     "size_membership": _with("select trade_date, symbol_base, size_bucket, prev_cap from mem", "mem"),
-    "size_bucket_returns": _with("select size_bucket, trade_date, round(sum(prev_cap * ret) / sum(prev_cap), 6) as ret, count(*) as n_names, round(sum(prev_cap) + 0.000012345, 1) as total_cap from mem group by size_bucket, trade_date", "mem"),
+    "size_bucket_returns": _with("select size_bucket, trade_date, round(sum(prev_cap * ret) / sum(prev_cap), 6) as ret, count(*) as n_names, round(sum(prev_cap), 4) as total_cap from mem group by size_bucket, trade_date", "mem"),
     "stock_day_buckets": _with("select coalesce(size_bucket, 'none') as size_bucket, count(*) as n, sum(news_count)::bigint as news from (select *, regexp_replace(symbol, '[.][^.]*$', '') as symbol_base from sig) left join mem using (trade_date, symbol_base) group by 1", "sig", "mem"),
     "caps_from_shares": _with("""
         select symbol, trade_date, round(close * shares, 4) as market_cap, round(coverage, 6) as coverage from (
@@ -168,12 +177,18 @@ SQL: dict[str, str] = {
         where coverage >= 0.5 and shares is not null""", "bars"),
     "article_texts": _with("""
         select doc, md5(case when t = '' then c when c = '' or t = c then t else t || chr(10) || chr(10) || c end) as text_md5, md5(bare) as bare_md5,
-          t <> '' and (bare = '' or bare = t) as is_title_only, md5(substr(text, 1, 1500)) as cut_md5, len(regexp_extract_all(lower(text), '[a-z0-9]+')) as n_tokens,
+          t <> '' and (bare = '' or bare = t or c = t) as is_title_only, md5(substr(text, 1, 1500)) as cut_md5, len(regexp_extract_all(lower(text), '[a-z0-9]+')) as n_tokens,
           case when coalesce(trim(symbol), '') = '' then 'missing_symbol' when day is null then 'invalid_date' when length(text) < 300 then 'too_short' when length(text) > 6000 then 'too_long' end as reason from txt""", "txt"),
     "drop_reasons": _with("""
         select coalesce(case when coalesce(trim(symbol), '') = '' then 'missing_symbol' when day is null then 'invalid_date' when length(text) < 300 then 'too_short' when length(text) > 6000 then 'too_long' end, 'kept') as reason,
           count(*) as n from art group by 1""", "art"),
-    "prompts": "select conv_id, turn, md5('System: You are a financial expert.' || chr(10) || chr(10) || 'User: Read.' || chr(10) || chr(10) || 'Is this good?' || chr(10) || chr(10) || substr(coalesce(text, ''), 1, 200) || chr(10) || chr(10) || 'Answer LONG or SHORT.' || chr(10) || chr(10) || 'Assistant:') as prompt_md5 from conversations",
+    "prompts": _with(f"""
+        select doc, md5('<s>[INST] <<SYS>>' || chr(10) || 'You are a financial expert.' || chr(10) || '<</SYS>>' || chr(10) || chr(10) || {_LABEL} || chr(10) || news || ' [/INST]') as prompt_md5,
+          md5({_LABEL} || chr(10) || t || chr(10) || chr(10) || 'The above is the news title. Please choose a trading position.') as closed_md5
+        from (select *, {_NEWS.format(200)} as news from txt)""", "txt"),
+    "position_prompts": _with(f"""
+        select doc, md5(replace(replace(replace({_POSITION}, '<subject>', case when {_TITLE_ONLY} then 'news title' else 'news' end), '<ticker>', upper(symbol)), '<news>', {_NEWS.format(300)})) as prompt_md5
+        from txt""", "txt"),
     "answer_labels": """
         select event_id, case event_type when 'click' then 'YES' when 'error' then 'NO' else 'UNKNOWN' end as label, event_type in ('click', 'error', 'view') as parsed_ok,
           case event_type when 'click' then 'LONG. OR SHORT' when 'error' then 'SHORT. CERTAINLY' when 'view' then 'INSUFFICIENT_INFO, NOT LONG' when 'signup' then 'LONGER SHORTS' else 'YES' end as first_line from events""",
@@ -207,7 +222,7 @@ SQL: dict[str, str] = {
     "tickers_first_seen": _with("select full_ticker as ticker, min(seq) as seq from univ where full_ticker not in (select full_ticker from univ where seq % 10 = 0) group by 1", "univ"),
     "tickers_by_metadata": _with("""
         select ticker, coalesce(not bad, true) as kept, case when bad then 'non_equity' end as reason from (select distinct full_ticker as ticker from active) left join (
-          select full_ticker as ticker, regexp_matches(lower(arg_max(name || case when seq % 7 = 0 then ' Warrant' when seq % 11 = 0 then ' unit' else '' end, seq)), 'warrant|right|unit') as bad
+          select full_ticker as ticker, regexp_matches(lower(full_ticker || ' ' || arg_max(name || case when seq % 7 = 0 then ' Warrant' when seq % 11 = 0 then ' unit' else '' end, seq)), ' warrant| right| unit') or regexp_matches(upper(full_ticker), '-W|-R|-U') as bad
           from active where seq % 5 <> 0 group by 1) using (ticker)""", "active"),
     "tickers_with_news": _with("""
         select ticker, regexp_replace(ticker, '[.][^.]*$', '') in (select regexp_replace(full_ticker, '[.][^.]*$', '') from gone) as kept,
@@ -217,17 +232,17 @@ SQL: dict[str, str] = {
         select case when n > 1 then 'several_symbols' when k % 2 = 1 then 'other_symbol' else 'kept' end as reason, count(*) as n
         from (select l_orderkey as k, count(distinct l_suppkey) as n from lineitem group by 1) group by 1""",
     "sampled_pages": "select page_id, url from pages order by md5('7|' || page_id), page_id limit 20",
-    "baseline_path": _with(f"select trade_date, round(ret, 6) as ret, {_SLOG.format('equity')} as equity from base1", "base1"),
+    "baseline_path": _with(f"select trade_date, round(ret, 6) as ret, {_R6.format('equity')} as equity from base1", "base1"),
     "strategy_against_baseline": _with(f"""
-        select strategy, trade_date, {_SLOG.format('equity')} as equity, {_SLOG.format('(b / first_value(b) over (partition by strategy order by trade_date))')} as baseline_equity from (
+        select strategy, trade_date, {_R6.format('equity')} as equity, {_R6.format('(b / first_value(b) over (partition by strategy order by trade_date))')} as baseline_equity from (
           select strategy, trade_date, path.equity, last_value(base1.equity ignore nulls) over (partition by strategy order by trade_date) as b from path left join base1 using (trade_date)) where b is not null""", "path", "base1"),
     "loss_day_summary": _with("""
         select strategy, trade_date, count(*) filter (weight > 0) as n_long, count(*) filter (weight < 0) as n_short, round(sum(weight * ret), 6) as total,
           first(symbol order by weight * ret, symbol) as worst_symbol, round(min(weight * ret), 6) as worst_contribution
-        from held where (strategy, trade_date) in (select (strategy, trade_date) from daily where net_ret < -0.5) group by strategy, trade_date""", "held", "daily"),
+        from held where (strategy, trade_date) in (select (strategy, trade_date) from daily where net_ret < -0.005) group by strategy, trade_date""", "held", "daily"),
     "bars_around_a_day": _with("""
-        select b.symbol, t.trade_date as target_date, b.trade_date, b.r - t.r as "offset" from n b join (select * from n qualify row_number() over (partition by symbol order by volume desc, trade_date desc) = 1) t
-        on b.symbol = t.symbol and abs(b.r - t.r) <= 3""", "bars").replace(" select b.symbol", ", n as (select *, row_number() over (partition by symbol order by trade_date) as r from bars) select b.symbol", 1),
+        select b.symbol, t.trade_date as target_date, b.trade_date, b.r - t.r as "offset" from numbered b
+        join (select * from numbered qualify row_number() over (partition by symbol order by volume desc, trade_date desc) = 1) t on b.symbol = t.symbol and abs(b.r - t.r) <= 3""", "numbered"),
     "vector_sums": _with("select g, label, count(*) as n, pos::bigint as pos, round(sum(v), 4) as s from emb group by g, label, pos", "emb"),
     "group_scores": _with(f"""
         select g, round(d / n + 0.25, 4) as mean, round(d + n * 0.25, 4) as sum_head, round(d + 0.25, 4) as sum_embedding

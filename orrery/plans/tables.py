@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import bars as B
 from ..operators import signals as S
 
-MIN_PRICE, MIN_ADV = 1.0, 60_000.0
+MIN_PRICE, MIN_ADV = 1.0, 45_000.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +26,14 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, trade_date, open, close, adjusted_close, volume from each supplier's lines of a day."""
+    """symbol, trade_date, open, close, adjusted_close, volume from each supplier's lines of a day.
+
+    Prices of parts have nothing to do with one another, so they move a level of 1000 by a few parts in a
+    hundred, in whole cents; returns then compound like a market's, not to numbers of hundreds of digits.
+    """
+    price = F.lit(1000.0) + F.floor(F.col("l_extendedprice") / F.col("l_quantity")) / F.lit(100.0)
     lines = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", F.col("l_shipdate").cast("date").alias("trade_date"), "l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), "l_quantity"
+        "l_suppkey", F.col("l_shipdate").cast("date").alias("trade_date"), "l_orderkey", "l_linenumber", price.alias("p"), "l_quantity"
     )
     order = F.struct("l_orderkey", "l_linenumber", "p")
     days = lines.groupBy("l_suppkey", "trade_date").agg(F.min_by("p", order).alias("open"), F.max_by("p", order).alias("close"), F.sum("l_quantity").alias("volume"))

@@ -182,11 +182,36 @@ def test_texts(spark):
     assert values(f, X.is_title_only("t", "c")) == [False, True, False, True, False]
 
 
+def test_prompts(spark):
+    f = spark.createDataFrame([(" ab ", " T ", "see http://x.y now"), (None, "T", "http://x.y"), ("A", None, "c"), ("A", "\tT\n", "T http://x.y")], "s string, t string, c string")
+    ask = X.LABEL_INSTRUCTION
+    assert values(f, X.label_prompt("t", "c", 5)) == [f"{ask}\nT\n\nsee  n"[: len(ask) + 8].rstrip(), f"{ask}\nT", f"{ask}\nc", f"{ask}\nT"]
+    assert values(f, X.label_prompt("t", "c", 5, "Q", "of {subject}"))[1] == "Q\nT\n\nof news title"
+    got = values(f, X.position_prompt("s", "t", "c", 99))
+    assert got[0] == X.POSITION_TEMPLATE.format(ticker="AB", subject="news", news="T\n\nsee  now") and got[1] == X.POSITION_TEMPLATE.format(ticker="the stock", subject="news title", news="T")
+    assert values(f, X.chat(F.lit("u"), "s"))[0] == "<s>[INST] <<SYS>>\ns\n<</SYS>>\n\nu [/INST]"
+    assert values(f, X.is_title_only("t", "c")) == [False, True, False, True]
+
+
+def test_page_times_take_the_first_that_parses(spark):
+    html = [
+        '<meta name="pubdate" content="soon"><meta name="dc.date" content="2024-01-02"><meta name="datepublished" content="2020-01-01">',
+        '<meta name="date" content="2020-01-01"><script type="application/ld+json">{"a": [{"datePublished": "x"}, {"b": {"datepublished": 1704067200}}], "datePublished": "2021-01-01"}</script>',
+        "<p>Last modified on 2024-03-04T05:06Z and updated 2025-01-01",
+    ]
+    got = P.page_times(spark.createDataFrame(list(enumerate(html)), "page_id long, html string")).orderBy("page_id").collect()
+    assert [(r.published, r.published_source) for r in got[:2]] == [(dt.datetime(2024, 1, 2), "meta:dc.date"), (dt.datetime(2024, 1, 1), "jsonld:$[0].a[1].b.datepublished")]
+    assert (got[2].modified, got[2].modified_source) == (dt.datetime(2024, 3, 4, 5, 6), "html:updated_text_fallback")
+
+
 def test_names(spark):
     f = spark.createDataFrame([(" brk.b.nyse ",), ("ABC",), ("X-WT.NYSE",)], "s string")
     assert values(f, N.exchange_of(N.normalize_symbol("s"))) == ["NYSE", "", "NYSE"]
     assert values(f, N.base_symbol(N.normalize_symbol("s"))) == ["BRK.B", "ABC", "X-WT"]
     assert values(f, N.is_non_equity("s", F.lit(None).cast("string"))) == [False, False, True]
+    names = ["Community Bank", "Bright Horizons", "Wright Medical", "Some Rights", "New unit of", "Warrant", None]
+    n = spark.createDataFrame([("ABC", x) for x in names], "s string, n string")
+    assert values(n, N.is_non_equity("s", "n")) == [False, False, False, True, True, True, False]
     assert N.penalty_tag(1e-6) == "1em06" and N.penalty_tag(0.01) == "0p01"
 
 
@@ -222,6 +247,6 @@ def test_page_times(spark):
     got = {r.page_id: r for r in P.page_times(f).collect()}
     at = dt.datetime(2024, 1, 2, 3, 4, 5)
     assert [got[k].published for k in range(4)] == [at, at, None, None]
-    assert got[1].published_source == "json:$.@graph[0].a.datePublished" and got[1].modified == dt.datetime(2024, 1, 5, 10)
+    assert got[1].published_source == "jsonld:$[0].@graph[0].a.datePublished" and got[1].modified == dt.datetime(2024, 1, 5, 10)
     stored = spark.createDataFrame([(0, at - dt.timedelta(hours=1)), (1, at), (2, at)], "page_id long, db_time timestamp")
     assert {r.page_id: (r.status, r.delta_hours) for r in P.audit(stored, P.page_times(f)).collect()} == {0: ("suspicious", -1.0), 1: ("ok", 0.0), 2: ("unknown", None)}
