@@ -114,7 +114,8 @@ def _daily(spark, d) -> DataFrame:
 @query
 def backtest_daily(spark, d):
     out = _daily(spark, d)
-    rounded = [r6(c, 12).alias(c) for c in ("gross_ret", "turnover", "cost", "net_ret", "leverage", "gross_leverage")]
+    # A book of equal sides nets to a zero of either sign.
+    rounded = [F.when(r6(c, 12) != 0, r6(c, 12)).otherwise(F.when(F.col(c).isNotNull(), F.lit(0.0))).alias(c) for c in ("gross_ret", "turnover", "cost", "net_ret", "leverage", "gross_leverage")]
     return out.select("strategy", "trade_date", *rounded, "n_long", "n_short")
 
 

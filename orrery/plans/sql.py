@@ -19,7 +19,7 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
           case when open > 0 and lead(open) over w > 0 then lead(open) over w / open - 1 end as fwd_ret
         from bars window w as (partition by symbol order by trade_date), p as (partition by symbol order by trade_date rows between 20 preceding and 1 preceding)"""),
     "numbered": (("bars",), "select *, row_number() over (partition by symbol order by trade_date) as r from bars"),
-    "mkt": (("raw",), "select *, coalesce(open > 0 and prev_close >= 1.0 and adv >= 45000, false) as eligible from raw where n_rows >= 25"),
+    "mkt": (("raw",), "select *, coalesce(open > 0 and prev_close >= 1.0 and adv >= 29000, false) as eligible from raw where n_rows >= 25"),
     "cal": (("bars",), """
         select symbol, trade_date, cutoff, lag(cutoff) over w as window_open, lag(shut) over w as night_open from (
           select distinct symbol, trade_date, (trade_date + interval 9 hour) at time zone 'America/New_York' at time zone 'UTC' as cutoff,
@@ -157,7 +157,7 @@ SQL: dict[str, str] = {
           select *, floor(n * 0.3::double) as k from (select *, row_number() over (partition by trade_date order by pred, symbol) as r, count(*) over (partition by trade_date) as n from pred where eligible))
         where n >= 3 and k >= 1 and (r > n - k or r <= k)""", "pred"),
     "pool_counts": _with("select trade_date, count(*) as n_pool, count(*) filter (strict_long) as n_long, count(*) filter (strict_short) as n_short from sig where eligible group by trade_date", "sig"),
-    "backtest_daily": _with("select strategy, trade_date, " + ", ".join(f"round({c}, 12) as {c}" for c in ("gross_ret", "turnover", "cost", "net_ret", "leverage", "gross_leverage")) + ", n_long, n_short from daily", "daily"),
+    "backtest_daily": _with("select strategy, trade_date, " + ", ".join(f"case when round({c}, 12) = 0 then 0 else round({c}, 12) end as {c}" for c in ("gross_ret", "turnover", "cost", "net_ret", "leverage", "gross_leverage")) + ", n_long, n_short from daily", "daily"),
     "backtest_performance": _with(f"""
         select strategy, {_R6.format('total')} as total_return, {_R6.format('(case when total > -1 then (1 + total) ** (252.0 / n) - 1 else -1 end)')} as ann_return, {_R6.format('vol')} as ann_vol,
           {_R6.format('(m * 252 / nullif(vol, 0))')} as sharpe, {_R6.format('dd')} as max_drawdown, n as n_days

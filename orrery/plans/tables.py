@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import bars as B
 from ..operators import signals as S
 
-MIN_PRICE, MIN_ADV = 1.0, 45_000.0
+MIN_PRICE, MIN_ADV = 1.0, 29_000.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
