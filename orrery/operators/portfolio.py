@@ -2,11 +2,15 @@
 
 A position on day t is either today's target or what the last target has become.
 With a rebalance on every day that is a ``lag`` over the calendar; between sparse
-rebalances it is a running product.  No day waits for the one before it.
+rebalances it is a running product.  No day waits for the one before it, but where
+a volatility target makes weights depend on the returns before.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -90,27 +94,116 @@ def drifted_weights(starts: DataFrame, returns: DataFrame) -> DataFrame:
     return out.withColumn("w_exec", F.when(alive, value / F.col("wealth")).otherwise(0.0)).select("strategy", "trade_date", "symbol", "w_exec")
 
 
-def vol_targeted(daily: DataFrame, target: float, months: int = 3, max_leverage: float = 2.0) -> DataFrame:
-    """Per (strategy, trade_date) the scale that aims at an annual volatility, and the scaled returns.
+def _segments(rebalances: DataFrame, days: DataFrame) -> DataFrame:
+    """trade_date, segment (the last rebalance day until then; null before the first), next_date, rebalance.  One row a day."""
+    marks = rebalances.select("trade_date").distinct().withColumn("_mark", F.col("trade_date"))
+    path = Window.orderBy("trade_date")
+    days = days.select("trade_date").distinct().join(marks, "trade_date", "left")
+    return days.select(
+        "trade_date", F.last("_mark", ignorenulls=True).over(path).alias("segment"), F.lead("trade_date").over(path).alias("next_date"), F.col("_mark").isNotNull().alias("rebalance")
+    )
+
+
+def _grown(targets: DataFrame, returns: DataFrame, calendar: DataFrame) -> DataFrame:
+    """strategy, segment, trade_date, next_date, symbol, weight, and weight times growth: start of the day, end of the day."""
+    facts = returns.select("symbol", "trade_date", F.coalesce(F.nanvl("ret", F.lit(0.0)), F.lit(0.0)).alias("ret"))
+    starts = targets.filter("weight <> 0").select("strategy", F.col("trade_date").alias("segment"), "symbol", "weight")
+    rows = starts.join(calendar.filter("segment is not null"), "segment").join(facts, ["symbol", "trade_date"], "left")
+    path = Window.partitionBy("strategy", "segment", "symbol").orderBy("trade_date")
+    end = F.col("weight") * F.product(1 + F.coalesce("ret", F.lit(0.0))).over(path)
+    return rows.withColumn("end", end).withColumn("start", F.coalesce(F.lag("end").over(path), F.col("weight")))
+
+
+def _books(grown: DataFrame, targets: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Every (strategy, trade_date): segment, rebalance, target (sum of weights), start and end (sums of weight times growth)."""
+    sums = grown.groupBy("strategy", "trade_date").agg(F.sum("weight").alias("target"), F.sum("start").alias("start"), F.sum("end").alias("end"))
+    grid = targets.select("strategy").distinct().crossJoin(calendar)  # strategies x days: a row a strategy and day
+    return grid.join(sums, ["strategy", "trade_date"], "left").fillna(0.0, ["target", "start", "end"])
 
-    The scale of a day comes from past *scaled* net returns, so a strategy's days
-    are worked through in order; a strategy has one row a day.
+
+def _trades(grown: DataFrame, targets: DataFrame, returns: DataFrame, calendar: DataFrame) -> DataFrame:
+    """strategy, trade_date (of a rebalance), symbol, want, had (weight times growth of the segment before; 0 if not eligible)."""
+    allowed = returns.select("symbol", "trade_date", "eligible")
+    last = calendar.filter("rebalance").select(F.col("trade_date").alias("next_date"))
+    had = grown.join(last, "next_date").select("strategy", F.col("next_date").alias("trade_date"), "symbol", "end")
+    had = had.join(allowed, ["symbol", "trade_date"], "left").select("strategy", "trade_date", "symbol", F.lit(0.0).alias("want"), F.when(F.coalesce("eligible", F.lit(False)), F.col("end")).otherwise(0.0).alias("had"))
+    want = targets.select("strategy", "trade_date", "symbol", F.col("weight").alias("want"), F.lit(0.0).alias("had")).join(calendar.filter("rebalance").select("trade_date"), "trade_date")
+    return had.unionByName(want).groupBy("strategy", "trade_date", "symbol").agg(F.sum("want").alias("want"), F.sum("had").alias("had"))
+
+
+def execute(targets: DataFrame, rebalances: DataFrame, returns: DataFrame, days: DataFrame, cost_bps: float = 3.0) -> DataFrame:
+    """Per (strategy, trade_date): rebalance, gross_ret, turnover, cost, net_ret, leverage; trades on ``rebalances`` (trade_date) only.
+
+    Other arguments as in ``execute_daily``; targets of other days do not count, a
+    rebalance without targets goes to cash.  Between rebalances weights drift.  With
+    G the growth of a name since the rebalance, a book is worth 1 - sum w + sum w G of
+    what it was then; at or below zero it is closed until the next rebalance.
+    """
+    calendar = _segments(rebalances, days)
+    grown = _grown(targets, returns, calendar)
+    path = Window.partitionBy("strategy", "segment").orderBy("trade_date")
+    worth = _books(grown, targets, calendar).withColumns({"before": 1 - F.col("target") + F.col("start"), "after": 1 - F.col("target") + F.col("end")})
+    open_now = F.coalesce(F.min("after").over(path.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)) > 0
+    worth = worth.withColumn("open", open_now)
+    ends = worth.filter("next_date is not null").select("strategy", F.col("next_date").alias("trade_date"), F.when(F.col("open") & (F.col("after") > 0), 1 / F.col("after")).otherwise(0.0).alias("part"))
+    moves = _trades(grown, targets, returns, calendar).join(ends, ["strategy", "trade_date"], "left").withColumn("had", F.col("had") * F.coalesce("part", F.lit(0.0)))
+    moved = moves.groupBy("strategy", "trade_date").agg(F.sum(F.abs(F.col("want") - F.col("had"))).alias("moved"), F.sum(F.col("want") - F.col("had")).alias("cash"))
+    out = worth.join(moved, ["strategy", "trade_date"], "left").fillna(0.0, ["moved", "cash"])
+    out = out.withColumns({
+        "gross_ret": F.when(F.col("open"), (F.col("end") - F.col("start")) / F.col("before")).otherwise(0.0),
+        "turnover": 0.5 * (F.col("moved") + F.abs("cash")), "leverage": F.when(F.col("open"), F.col("start") / F.col("before")).otherwise(0.0),
+    }).withColumn("cost", F.col("turnover") * (cost_bps / 1e4))
+    return out.select("strategy", "trade_date", "rebalance", "gross_ret", "turnover", "cost", (F.col("gross_ret") - F.col("cost")).alias("net_ret"), "leverage")
+
+
+_TARGETED = "strategy string, trade_date date, rebalance boolean, gross_ret double, turnover double, cost double, net_ret double, leverage double, vol_est_ann double, vol_scale double"
+
+
+def execute_to_volatility(
+    targets: DataFrame, rebalances: DataFrame, returns: DataFrame, days: DataFrame, target: float, cost_bps: float = 3.0, months: int = 12, max_leverage: float = 1.0
+) -> DataFrame:
+    """As ``execute``, with each rebalance's weights scaled to an annual volatility; adds vol_est_ann (null if none), vol_scale.
+
+    The scale comes from past net returns, at least 20, which depend on the scales
+    before: a strategy's days are worked through in order, one at a time.  Growth of
+    names and sums of books are windows beforehand; a rebalance day carries its names'
+    weights as two lists, as long as the book.  Only books of a positive net weight are scaled.
     """
-    window = max(20, 21 * months)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date")
-        done: list[float] = []
-        scales = []
-        for net in pdf["net_ret"]:
-            past = done[-window:]
-            vol = float(np.std(past, ddof=1) * YEAR**0.5) if len(past) >= 20 else 0.0
-            scale = min(max_leverage, target / vol) if vol > 0 else 1.0
-            scales.append(scale)
-            done.append(scale * net)
-        return pdf.assign(vol_scale=scales, scaled_ret=done)[["strategy", "trade_date", "net_ret", "vol_scale", "scaled_ret"]]
-
-    return daily.select("strategy", "trade_date", "net_ret").groupBy("strategy").applyInPandas(run, "strategy string, trade_date date, net_ret double, vol_scale double, scaled_ret double")
+    calendar = _segments(rebalances, days)
+    grown = _grown(targets, returns, calendar)
+    trades = _trades(grown, targets, returns, calendar).groupBy("strategy", "trade_date").agg(F.collect_list(F.struct("want", "had")).alias("names"))
+    books = _books(grown, targets, calendar).join(trades, ["strategy", "trade_date"], "left")
+    rows = books.select("strategy", "trade_date", "rebalance", "target", "start", "end", F.col("names.want").alias("want"), F.col("names.had").alias("had"))
+    window, rate = max(20, 21 * months), cost_bps / 1e4
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        strategy = None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.strategy != strategy or strategy is None:
+                    strategy, past, k, net_target, part, is_open = r.strategy, deque(maxlen=window), 1.0, 0.0, 0.0, True
+                turnover, vol, scale = 0.0, None, 1.0
+                if r.rebalance:
+                    want, had = (np.array(x if x is not None else [], float) for x in (r.want, r.had))
+                    if want.sum() > 0 and len(past) >= 20:
+                        vol = float(np.std(past, ddof=1) * YEAR**0.5)
+                        scale = min(target / vol if vol > 0 else 1.0, max_leverage)
+                    elif want.sum() > 0:
+                        scale = min(1.0, max_leverage)
+                    had = had * part
+                    k, net_target, is_open = scale, scale * want.sum(), True
+                    turnover = 0.5 * (np.abs(k * want - had).sum() + abs(k * want.sum() - had.sum()))
+                before, after = 1 - net_target + k * r.start, 1 - net_target + k * r.end
+                gross, leverage = (k * (r.end - r.start) / before, k * r.start / before) if is_open else (0.0, 0.0)
+                is_open = is_open and after > 0
+                part = k / after if is_open else 0.0
+                net = gross - turnover * rate
+                past.append(net)
+                out.append((r.strategy, r.trade_date, r.rebalance, gross, turnover, turnover * rate, net, leverage, vol, scale))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _TARGETED.split(", ")])
+
+    return rows.repartition("strategy").sortWithinPartitions("strategy", "trade_date").mapInPandas(run, _TARGETED)
 
 
 def trailing_volatility(daily: DataFrame, months: int = 3) -> DataFrame:

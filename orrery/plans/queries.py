@@ -135,9 +135,23 @@ def trailing_volatility(spark, d):
     return R.trailing_volatility(_daily(spark, d)).select("strategy", "trade_date", r6("vol_est_ann").alias("vol_est_ann"))
 
 
+def _monthly(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Targets, rebalances on the first day of each month that has any, returns, days."""
+    stats = T.market(spark, d)
+    targets = S.all_targets(T.signals(spark, d), MIN_POOL, MIN_SHORT)
+    first = targets.groupBy(F.trunc("trade_date", "month")).agg(F.min("trade_date").alias("trade_date")).select("trade_date")
+    return targets, first, stats.select("symbol", "trade_date", "ret", "eligible"), B.trade_days(stats)
+
+
+@query
+def monthly_backtest(spark, d):
+    out = R.execute(*_monthly(spark, d))
+    return out.select("strategy", "trade_date", "rebalance", *[(r6(c, 9) + 0.0).alias(c) for c in ("gross_ret", "turnover", "cost", "net_ret", "leverage")])
+
+
 @query
 def volatility_targeting(spark, d):
-    return R.vol_targeted(_daily(spark, d), 0.1)
+    return R.execute_to_volatility(*_monthly(spark, d), target=0.05)
 
 
 @query

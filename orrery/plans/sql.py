@@ -70,6 +70,29 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "path": (("daily",), """
         select *, equity / max(equity) over (partition by strategy order by trade_date) - 1 as drawdown
         from (select *, product(1 + net_ret) over (partition by strategy order by trade_date) as equity from daily)"""),
+    "firsts": (("tgt",), "select min(trade_date) as trade_date from tgt group by date_trunc('month', trade_date)"),
+    "seg": (("chain", "firsts"), """
+        select trade_date, next_date, mark is not null as rebalance, last_value(mark ignore nulls) over (order by trade_date) as segment
+        from (select chain.trade_date, next_date, firsts.trade_date as mark from chain left join firsts using (trade_date))"""),
+    "grown": (("tgt", "seg", "mkt"), """
+        select *, coalesce(lag(e) over (partition by strategy, segment, symbol order by trade_date), weight) as s from (
+          select t.strategy, seg.segment, seg.trade_date, seg.next_date, t.symbol, weight, weight * product(1 + coalesce(mkt.ret, 0)) over (partition by t.strategy, seg.segment, t.symbol order by seg.trade_date) as e
+          from tgt t join seg on t.trade_date = seg.segment left join mkt on mkt.symbol = t.symbol and mkt.trade_date = seg.trade_date)"""),
+    "worth": (("grown", "seg"), """
+        select *, coalesce(min(after) over (partition by strategy, segment order by trade_date rows between unbounded preceding and 1 preceding), 1) > 0 as alive from (
+          select strategy, trade_date, seg.segment, seg.next_date, rebalance, coalesce(s, 0) as s, coalesce(e, 0) as e, 1 - coalesce(w, 0) + coalesce(s, 0) as before, 1 - coalesce(w, 0) + coalesce(e, 0) as after
+          from (select distinct strategy from tgt) cross join seg left join (select strategy, trade_date, sum(weight) as w, sum(s) as s, sum(e) as e from grown group by all) using (strategy, trade_date))"""),
+    "moved": (("worth", "grown", "mkt", "tgt", "firsts"), """
+        select strategy, trade_date, 0.5 * (sum(abs(want - had)) + abs(sum(want) - sum(had))) as turnover from (
+          select strategy, trade_date, symbol, sum(want) as want, sum(had) as had from (
+            select strategy, trade_date, symbol, weight as want, 0 as had from tgt where trade_date in (select trade_date from firsts)
+            union all
+            select g.strategy, g.next_date, g.symbol, 0, case when m.eligible and w.alive and w.after > 0 then g.e / w.after else 0 end
+            from grown g join firsts on firsts.trade_date = g.next_date join worth w on w.strategy = g.strategy and w.trade_date = g.trade_date
+            left join mkt m on m.symbol = g.symbol and m.trade_date = g.next_date) group by all) group by all"""),
+    "quarters": (("mkt",), """
+        select trade_date as rebalance_date, symbol, 1.0::double / count(*) over (partition by trade_date) as weight, dense_rank() over (order by trade_date) as q from mkt
+        where eligible and trade_date in (select min(trade_date) from mkt where eligible group by date_trunc('quarter', trade_date))"""),
     "caps": (("bars", "sym"), "select bars.symbol, trade_date, close * s_acctbal as market_cap from bars join sym using (symbol)"),
     "prevcap": (("caps",), "select * from (select symbol, trade_date, lag(case when market_cap > 0 then market_cap end) over (partition by symbol order by trade_date) as prev_cap from caps) where prev_cap is not null"),
     "points": (("prevcap",), "select trade_date, quantile_cont(prev_cap, 0.2) as breakpoint, count(*) as n_symbols from prevcap where symbol like '%.NYSE' group by trade_date"),
@@ -163,6 +186,16 @@ SQL: dict[str, str] = {
           {_R6.format('(m * 252 / nullif(vol, 0))')} as sharpe, {_R6.format('dd')} as max_drawdown, n as n_days
         from (select strategy, product(1 + net_ret) - 1 as total, avg(net_ret) as m, stddev_samp(net_ret) * sqrt(252) as vol, min(drawdown) as dd, count(*) as n from path group by strategy)""", "path"),
     "equity_path": _with(f"select strategy, trade_date, {_R6.format('equity')} as equity, {_R6.format('drawdown')} as drawdown from path", "path"),
+    "monthly_backtest": _with("""
+        select strategy, trade_date, rebalance, round(gross, 9) + 0 as gross_ret, round(turn, 9) + 0 as turnover, round(turn * 3.0 / 1e4, 9) + 0 as cost, round(gross - turn * 3.0 / 1e4, 9) + 0 as net_ret, round(lev, 9) + 0 as leverage
+        from (select strategy, trade_date, rebalance, case when alive then (e - s) / before else 0 end as gross, case when alive then s / before else 0 end as lev, coalesce(turnover, 0) as turn
+          from worth left join moved using (strategy, trade_date))""", "worth", "moved"),
+    "drifted_weights": _with("""
+        select 'equal' as strategy, trade_date, symbol, round(weight * g / (1 - sum(weight) over d + sum(weight * g) over d), 6) as w_exec from (
+          select h.*, m.trade_date, coalesce(product(1 + coalesce(ret, 0)) over (partition by h.q, h.symbol order by m.trade_date rows between unbounded preceding and 1 preceding), 1) as g
+          from quarters h left join (select distinct q - 1 as q, rebalance_date as until from quarters) n on n.q = h.q
+          join mkt m on m.symbol = h.symbol and m.trade_date >= h.rebalance_date and (until is null or m.trade_date < until))
+        window d as (partition by q, trade_date)""", "quarters"),
     "trailing_volatility": _with("""
         select strategy, trade_date, round(case when count(net_ret) over w >= 20 then stddev_samp(net_ret) over w * sqrt(252) end, 6) as vol_est_ann from daily
         window w as (partition by strategy order by trade_date rows between 63 preceding and 1 preceding)""", "daily"),

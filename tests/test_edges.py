@@ -107,14 +107,50 @@ def test_drift_equals_the_recursion(spark):
         w = {s: w[s] * (1 + rets[(s, d)]) / (1 + gross) for s in w}
 
 
-def test_volatility_targeting_uses_scaled_past(spark):
-    rng = np.random.default_rng(2)
-    nets = rng.normal(0, 0.02, 60).tolist()
-    f = spark.createDataFrame([("s", d, x) for d, x in zip(days(60), nets)], "strategy string, trade_date date, net_ret double")
-    got = R.vol_targeted(f, 0.1).orderBy("trade_date").collect()
-    assert [r.vol_scale for r in got[:20]] == [1.0] * 20
-    past = [r.scaled_ret for r in got[:25]]
-    assert np.isclose(got[25].vol_scale, min(2.0, 0.1 / (np.std(past, ddof=1) * 252**0.5)))
+def sparse_path(targets, marks, rets, eligible, dates, bps, aim=0.0, lookback=252, cap=1.0):
+    """The engine day by day, as the definition says."""
+    prev, past, out = {}, [], []
+    for d in dates:
+        turnover, scale, want = 0.0, 1.0, prev
+        if d in marks:
+            prev = {s: w if eligible.get((s, d), False) else 0.0 for s, w in prev.items()}
+            want = targets.get(d, {})
+            if aim and sum(want.values()) > 0:
+                vol = np.std(past[-lookback:], ddof=1) * 252**0.5 if len(past) >= 20 else 0.0
+                scale = min(aim / vol if vol > 0 else 1.0, cap)
+                want = {s: w * scale for s, w in want.items()}
+            moved = sum(abs(want.get(s, 0) - prev.get(s, 0)) for s in set(prev) | set(want))
+            turnover = 0.5 * (moved + abs(sum(prev.values()) - sum(want.values())))
+        gross = sum(w * rets.get((s, d), 0.0) for s, w in want.items())
+        past.append(gross - turnover * bps / 1e4)
+        out.append((gross, turnover, past[-1], sum(want.values()), scale))
+        prev = {s: w * (1 + rets.get((s, d), 0.0)) / (1 + gross) if 1 + gross > 0 else 0.0 for s, w in want.items()}
+    return out
+
+
+@pytest.mark.parametrize("every", [1, 7])
+def test_sparse_and_targeted_execution_equal_the_day_by_day_definition(spark, every):
+    rng = np.random.default_rng(every)
+    dates, names = days(70), list("ABCDE")
+    rets = {(s, d): float(rng.normal(0, 0.05)) for s in names for d in dates if rng.random() < 0.9}
+    rets[("A", dates[31])] = -9.0  # closes the books that hold it
+    eligible = {k: bool(rng.random() < 0.8) for k in rets}
+    marks = [d for k, d in enumerate(dates) if k >= 3 and (k - 3) % every == 0]
+    books = {name: {d: {s: float(rng.normal(shift, 0.3)) for s in names if rng.random() < 0.6} for d in dates if rng.random() < 0.9} for name, shift in (("long", 0.3), ("flat", 0.0))}
+    for book in books.values():
+        book[[d for d in marks if d <= dates[31]][-1]] = {"A": 0.9, "B": 0.1}
+    rows = [(n, d, s, w) for n, book in books.items() for d, ws in book.items() for s, w in ws.items()]
+    t = spark.createDataFrame(rows, "strategy string, trade_date date, symbol string, weight double")
+    m = spark.createDataFrame([(d,) for d in marks], "trade_date date")
+    r = spark.createDataFrame([(s, d, v, eligible[(s, d)]) for (s, d), v in rets.items()], "symbol string, trade_date date, ret double, eligible boolean")
+    days_ = spark.createDataFrame([(d,) for d in dates], "trade_date date")
+    plain, scaled = R.execute(t, m, r, days_, 5.0), R.execute_to_volatility(t, m, r, days_, 0.2, 5.0, months=1, max_leverage=1.5)
+    for frame, options in ((plain, {}), (scaled, {"aim": 0.2, "lookback": 21, "cap": 1.5})):
+        for name, book in books.items():
+            got = sorted((x for x in frame.collect() if x.strategy == name), key=lambda x: x.trade_date)
+            for g, e in zip(got, sparse_path(book, set(marks), rets, eligible, dates, 5.0, **options), strict=True):
+                assert np.allclose((g.gross_ret, g.turnover, g.net_ret, g.leverage), e[:4], rtol=1e-8, atol=1e-11)
+                assert not options or np.isclose(g.vol_scale, e[4])
 
 
 def signal_rows(n, yes, no):
