@@ -79,10 +79,13 @@ def drifted_weights(starts: DataFrame, returns: DataFrame) -> DataFrame:
     With G the growth of a name since the rebalance, the weight before day t is
     w G / (1 - sum w + sum w G), as long as the portfolio stays above zero.
     """
-    dates = starts.select("strategy", "rebalance_date").distinct()
-    upto = F.lead("rebalance_date").over(Window.partitionBy("strategy").orderBy("rebalance_date"))
-    spans = starts.join(dates.withColumn("until", upto), ["strategy", "rebalance_date"])
-    rows = spans.join(returns, "symbol").filter((F.col("trade_date") >= F.col("rebalance_date")) & (F.col("until").isNull() | (F.col("trade_date") < F.col("until"))))
+    # Each day's rebalance is known before names meet days: a row a strategy and day.
+    marks = starts.select("strategy", F.col("rebalance_date").alias("trade_date")).distinct().withColumn("_mark", F.col("trade_date"))
+    days = starts.select("strategy").distinct().crossJoin(returns.select("trade_date").distinct())
+    calendar = days.join(marks, ["strategy", "trade_date"], "full")
+    last = F.last("_mark", ignorenulls=True).over(Window.partitionBy("strategy").orderBy("trade_date"))
+    calendar = calendar.select("strategy", "trade_date", last.alias("rebalance_date")).filter("rebalance_date is not null")
+    rows = starts.join(calendar, ["strategy", "rebalance_date"]).join(returns.select("symbol", "trade_date", "ret"), ["symbol", "trade_date"])
     path = Window.partitionBy("strategy", "rebalance_date", "symbol").orderBy("trade_date")
     before = F.coalesce(F.product(1 + F.coalesce("ret", F.lit(0.0))).over(path.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
     day = Window.partitionBy("strategy", "rebalance_date", "trade_date")
