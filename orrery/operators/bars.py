@@ -97,6 +97,39 @@ def alias_table(stems: DataFrame, exchange_order=("NYSE", "NASDAQ")) -> DataFram
     return every.groupBy("alias").agg(F.min_by("stem", F.struct("rank", "stem")).alias("stem"))
 
 
+def resolve_stems(symbols: DataFrame, stems: DataFrame, exchange_order=("NYSE", "NASDAQ")) -> DataFrame:
+    """symbol -> stem of the bar file that answers for it, null if none.
+
+    A file of the base on one of the exchanges, in their order; else, in the same
+    order, the first file whose name begins with the base.  Prefixes are as many as a
+    ticker has letters, so the join is on equal keys.
+    """
+    from ..functions.names import base_symbol, exchange_of
+
+    place = F.array_position(F.array(*[F.lit(e) for e in exchange_order]), exchange_of("stem"))
+    named = stems.select("stem", place.alias("place"), base_symbol("stem").alias("base")).filter("place > 0 and base <> ''")
+    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.length("base")), lambda k: F.substring("base", F.lit(1), k)))
+    answers = named.select("stem", "place", "base", prefixes.alias("key"))
+    order = F.struct((F.col("key") != F.col("base")).alias("longer"), "place", F.concat("stem", F.lit(".parquet")).alias("file"))
+    first = answers.groupBy("key").agg(F.min_by("stem", order).alias("stem"))
+    wanted = symbols.select("symbol", F.replace(F.upper("symbol"), F.lit(".US"), F.lit("")).alias("key")).distinct()
+    return wanted.join(first, "key", "left").select("symbol", "stem")
+
+
+def answering(stems: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Files one of whose names (stem, base, base.US) is an allowed symbol."""
+    from ..functions.names import aliases, normalize_symbol
+
+    wanted = allowed.select(normalize_symbol("symbol").alias("alias")).distinct()
+    names = stems.select("stem", F.explode(aliases(F.upper("stem"))).alias("alias"))
+    return stems.join(names.join(wanted, "alias", "left_semi").select("stem").distinct(), "stem", "left_semi")
+
+
+def since(stats: DataFrame, start) -> DataFrame:
+    """Rows from ``start`` on; to be taken after windows, so that the first row keeps what they say of days before."""
+    return stats.filter(F.col("trade_date") >= F.lit(start))
+
+
 def baseline(bars: DataFrame) -> DataFrame:
     """trade_date, ret, equity of one price series: adjusted close if positive, else close; first return 0."""
     price = F.when(F.col("adjusted_close") > 0, F.col("adjusted_close")).otherwise(F.col("close"))

@@ -29,6 +29,12 @@ def summary(contribs: DataFrame) -> DataFrame:
     )
 
 
+def ranked(contribs: DataFrame) -> DataFrame:
+    """Holdings with their place among the day's, the worst contribution first, then by symbol."""
+    day = Window.partitionBy("strategy", "trade_date").orderBy("contribution", "symbol")
+    return contribs.withColumn("place", F.row_number().over(day))
+
+
 def names_of(contribs: DataFrame) -> DataFrame:
     """The union of names held long and short."""
     return contribs.filter("weight > 0").select("symbol").union(contribs.filter("weight < 0").select("symbol")).distinct()

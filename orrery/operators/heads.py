@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import base_symbol
+from ..functions.times import date_int, split_of
 
 #: Tasks that add up the partial matrices before the driver does.
 MERGE = 16
@@ -48,6 +50,39 @@ def group_score(mode: str, weights: list[float], bias: float) -> Column:
     return dot("vec_sum", weights) + (F.col("n") * bias if mode == "sum_head" else F.lit(bias))
 
 
+def masked_mean(states: str, mask: str, dimensions: int) -> Column:
+    """Mean of the vectors of ``states`` that ``mask`` marks with 1; what is not finite becomes 0, and so does a mean of none."""
+    zero = F.array_repeat(F.lit(0.0), dimensions)
+    marked = F.zip_with(states, mask, lambda v, m: F.transform(v, lambda x: x.cast("double") * m))
+    total = F.aggregate(marked, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+    count = F.greatest(F.aggregate(mask, F.lit(0.0), lambda acc, m: acc + m), F.lit(1e-6))
+    return F.transform(total, lambda x: F.when(finite(x / count), x / count).otherwise(0.0))
+
+
+def universe_by_split(stats: DataFrame, train: tuple[int, int], validation: tuple[int, int], target: str = "fwd_ret") -> DataFrame:
+    """split, trade_date, symbol (base.US), target: every finite target of a day that lies in a split."""
+    split = split_of(date_int("trade_date"), train, validation)
+    rows = stats.filter(finite(target)).withColumn("split", split).filter("split is not null")
+    return rows.select("split", "trade_date", F.concat(base_symbol(F.upper("symbol")), F.lit(".US")).alias("symbol"), F.col(target).alias("target"))
+
+
+def train_and_score(rows: DataFrame, vector: str, label: str, dimensions: int, l2: float) -> tuple[DataFrame, tuple[list[float], float]]:
+    """Rows of both splits with ``pred`` of a ridge head that was fitted on those of split train, and its weights and bias.
+
+    rows: split (train or val; others are left out), ``vector``, ``label``; a row whose
+    vector is not finite or of another size is left out, one without a finite label is scored only.
+    """
+    good = rows.filter(F.col("split").isin("train", "val") & finite_vector(vector) & (F.size(vector) == dimensions))
+    weights, bias = ridge(gram(good.filter((F.col("split") == "train") & finite(label)), vector, label, dimensions), l2)
+    return good.withColumn("pred", dot(vector, list(weights)) + F.lit(bias)), (weights.tolist(), bias)
+
+
+def ic_by_split(scored: DataFrame, min_universe: int = 20) -> DataFrame:
+    """``ic_summary`` of each split, named in column split."""
+    each = [ic_summary(scored.filter(F.col("split") == s), min_universe).withColumn("split", F.lit(s)) for s in ("train", "val")]
+    return each[0].unionByName(each[1])
+
+
 def gram(rows: DataFrame, vector: str, target: str, dimensions: int) -> dict[str, np.ndarray | float]:
     """n, X'X, X'y, sum x, sum y, sum y^2 over all rows: partial sums on the executors, one small merge.
 

@@ -22,6 +22,11 @@ def assign_days(articles: DataFrame, calendar: DataFrame) -> DataFrame:
     return keyed.join(windows, ["symbol", "_month"]).filter(hit).drop("_month", "window_open", "cutoff")
 
 
+def only_parsed(answers: DataFrame, flag: str = "parsed_ok") -> DataFrame:
+    """Answers whose flag is true; null counts as false."""
+    return answers.filter(F.coalesce(F.col(flag), F.lit(False)))
+
+
 def label_counts(assigned: DataFrame) -> DataFrame:
     """Per stock-day the labels (YES, NO, UNKNOWN), news and title-only articles, with score and strict flags."""
     is_ = lambda v: F.col("label") == v

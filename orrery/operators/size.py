@@ -42,6 +42,11 @@ def with_bucket(stock_days: DataFrame, members: DataFrame) -> DataFrame:
     return keyed.join(members.select("trade_date", "symbol_base", "size_bucket", "prev_cap"), ["trade_date", "symbol_base"], "left")
 
 
+def of_bucket(stock_days: DataFrame, bucket: str | None) -> DataFrame:
+    """Stock-days of one size bucket, those without a bucket left out; all of them if none is named."""
+    return stock_days.filter(F.col("size_bucket") == bucket) if bucket else stock_days
+
+
 def bucket_returns(members: DataFrame) -> DataFrame:
     """Per day and bucket: value-weighted ret (0 without value), n, total value; equity by bucket."""
     by = members.groupBy("size_bucket", "trade_date").agg(

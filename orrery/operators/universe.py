@@ -62,6 +62,12 @@ def reason_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def first_rows(rows: DataFrame, n: int | None, *order: str) -> DataFrame:
+    """The first n rows by ``order``, which should tell rows apart; all rows, in that order, without n."""
+    ordered = rows.orderBy(*order)
+    return ordered if n is None else ordered.limit(n)
+
+
 def sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows, each set equally likely, the same for a seed: the least seeded hashes."""
     return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(n)

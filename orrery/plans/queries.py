@@ -434,4 +434,75 @@ def ridge_grid(spark, d):
     return H.grid(stats, rows.filter("vec_id % 3 = 0"), "embedding", [1e-6, 1e-4, 1e-2, 1e-1])
 
 
+#: Ranges of days, both ends in, as numbers.
+TRAIN, VALIDATION = (19960101, 19971231), (19980101, 19991231)
+
+
+@query
+def parsed_answers(spark, d):
+    label = X.answer_label("answer")
+    flag = F.when(F.col("event_type") != "view", label.isNotNull())  # null for views
+    return S.only_parsed(_answers(spark, d).withColumn("parsed_ok", flag)).select("event_id", "event_type")
+
+
+@query
+def small_stock_days(spark, d):
+    return Z.of_bucket(Z.with_bucket(T.signals(spark, d), _members(spark, d)), "small").select("trade_date", "symbol", "news_count")
+
+
+@query
+def returns_since(spark, d):
+    return B.since(T.market(spark, d), "1998-01-01").select("symbol", "trade_date", "prev_close", r6("adv").alias("adv"), r6("ret").alias("ret"))
+
+
+@query
+def resolved_bar_files(spark, d):
+    stems = T.symbols(spark, d).filter("l_suppkey >= 10").select(F.col("symbol").alias("stem"))
+    wanted = T.table(spark, d, "nation").select(F.concat(F.lit("s"), F.col("n_nationkey").cast("string"), F.lit(".us")).alias("symbol"))
+    return B.resolve_stems(wanted, stems)
+
+
+@query
+def allowed_bar_files(spark, d):
+    stems = T.symbols(spark, d).select(F.col("symbol").alias("stem"))
+    name = F.concat(F.lit("s"), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 2 == 0, ".US").otherwise(".NYSE"))
+    return B.answering(stems, T.table(spark, d, "nation").select(name.alias("symbol")))
+
+
+@query
+def universe_by_split(spark, d):
+    return H.universe_by_split(T.market(spark, d), TRAIN, VALIDATION).select("split", "trade_date", "symbol", r6("target").alias("target"))
+
+
+@query
+def ranked_holdings(spark, d):
+    stats, signals = T.market(spark, d), T.signals(spark, d)
+    targets = S.all_targets(signals, MIN_POOL, MIN_SHORT)
+    out = G.contributions(targets, signals, stats, targets.select("strategy", "trade_date").distinct())
+    # Contributions that differ in the last bits only are ties.
+    return G.ranked(out.withColumn("contribution", r6("contribution", 12) + 0.0)).select("strategy", "trade_date", "symbol", "place", r6("contribution").alias("contribution"))
+
+
+@query
+def first_articles(spark, d):
+    return U.first_rows(T.articles(spark, d), 50, "day", "doc").select("day", "doc", "symbol")
+
+
+@query
+def pooled_states(spark, d):
+    states = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, F.lit(8)))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (k < F.col("vec_id") % 9).cast("double"))
+    rows = T.table(spark, d, "embeddings").select("vec_id", states.alias("states"), mask.alias("mask"))
+    pooled = rows.select("vec_id", F.posexplode(H.masked_mean("states", "mask", 8)).alias("pos", "v"))
+    return pooled.select("vec_id", F.col("pos").cast("long").alias("pos"), r6("v", 5).alias("v"))
+
+
+@query
+def head_ic_by_split(spark, d):
+    rows = T.table(spark, d, "embeddings").withColumns({"target": F.col("label").cast("double"), "trade_date": F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 9).cast("int"))})
+    rows = rows.withColumn("split", F.when(F.col("vec_id") % 3 == 0, "val").when(F.col("vec_id") % 3 == 1, "train"))
+    scored, _ = H.train_and_score(rows, "embedding", "target", 64, 1e-2)
+    return H.ic_by_split(scored, 5)
+
+
 ORACLE_SQL = {k: v for k, v in SQL.items() if k in QUERIES}

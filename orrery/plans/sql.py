@@ -276,6 +276,25 @@ SQL: dict[str, str] = {
     "bars_around_a_day": _with("""
         select b.symbol, t.trade_date as target_date, b.trade_date, b.r - t.r as "offset" from numbered b
         join (select * from numbered qualify row_number() over (partition by symbol order by volume desc, trade_date desc) = 1) t on b.symbol = t.symbol and abs(b.r - t.r) <= 3""", "numbered"),
+    "parsed_answers": "select event_id, event_type from events where event_type in ('click', 'error')",
+    "small_stock_days": _with("select trade_date, symbol, news_count from (select *, regexp_replace(symbol, '[.][^.]*$', '') as symbol_base from sig) join mem using (trade_date, symbol_base) where size_bucket = 'small'", "sig", "mem"),
+    "returns_since": _with("select symbol, trade_date, prev_close, round(adv, 6) as adv, round(ret, 6) as ret from mkt where trade_date >= '1998-01-01'", "mkt"),
+    "resolved_bar_files": _with("""
+        select 's' || n_nationkey || '.us' as symbol, first(stem order by length(base) > length('S' || n_nationkey), stem like '%.NASDAQ', stem || '.parquet') as stem
+        from nation left join (select symbol as stem, regexp_replace(symbol, '[.][^.]*$', '') as base from sym where l_suppkey >= 10) on starts_with(base, 'S' || n_nationkey) group by n_nationkey""", "sym"),
+    "allowed_bar_files": _with("""
+        select symbol as stem from sym where list_has_any([symbol, regexp_replace(symbol, '[.][^.]*$', ''), regexp_replace(symbol, '[.][^.]*$', '') || '.US'],
+          (select list('S' || n_nationkey || case when n_nationkey % 2 = 0 then '.US' else '.NYSE' end) from nation))""", "sym"),
+    "universe_by_split": _with("""
+        select case when year(trade_date) < 1998 then 'train' else 'val' end as split, trade_date, regexp_replace(symbol, '[.][^.]*$', '') || '.US' as symbol, round(fwd_ret, 6) as target
+        from mkt where fwd_ret is not null and year(trade_date) between 1996 and 1999""", "mkt"),
+    "ranked_holdings": _with("""
+        select strategy, trade_date, symbol, row_number() over (partition by strategy, trade_date order by c, symbol) as place, round(c, 6) as contribution
+        from (select strategy, trade_date, symbol, round(weight * ret, 12) + 0 as c from held)""", "held"),
+    "first_articles": "select date '2024-01-01' + (doc_id % 28)::int as day, doc_id as doc, source as symbol from documents order by day, doc limit 50",
+    "pooled_states": """
+        select vec_id, pos::bigint as pos, round(sum(case when k < vec_id % 9 then v else 0 end) / greatest(vec_id % 9, 1e-6::double), 5) as v
+        from (select vec_id, (i - 1) % 8 as pos, (i - 1) // 8 as k, embedding[i]::double as v from (select vec_id, embedding, unnest(range(1, 65)) as i from embeddings)) group by vec_id, pos""",
     "vector_sums": _with("select g, label, count(*) as n, pos::bigint as pos, round(sum(v), 4) as s from emb group by g, label, pos", "emb"),
     "group_scores": _with(f"""
         select g, round(d / n + 0.25, 4) as mean, round(d + n * 0.25, 4) as sum_head, round(d + 0.25, 4) as sum_embedding

@@ -15,6 +15,7 @@ from orrery.operators import heads as H
 from orrery.operators import pages as P
 from orrery.operators import portfolio as R
 from orrery.operators import signals as S
+from orrery.operators import size as Z
 
 D0 = dt.date(2024, 3, 6)
 
@@ -286,3 +287,41 @@ def test_page_times(spark):
     assert got[1].published_source == "jsonld:$[0].@graph[0].a.datePublished" and got[1].modified == dt.datetime(2024, 1, 5, 10)
     stored = spark.createDataFrame([(0, at - dt.timedelta(hours=1)), (1, at), (2, at)], "page_id long, db_time timestamp")
     assert {r.page_id: (r.status, r.delta_hours) for r in P.audit(stored, P.page_times(f)).collect()} == {0: ("suspicious", -1.0), 1: ("ok", 0.0), 2: ("unknown", None)}
+
+
+def test_bar_files_resolve_by_exchange_then_prefix(spark):
+    stems = spark.createDataFrame([("AB.NASDAQ",), ("ABC.NYSE",), ("AZ.NASDAQ",), ("AX.LSE",), ("BRK.B.NYSE",)], "stem string")
+    wanted = spark.createDataFrame([("ab.us",), ("A",), ("AZ",), ("AX",), ("BRK",), ("BRK.B",), ("ABCD",), (None,), ("A",)], "symbol string")
+    got = {r.symbol: r.stem for r in B.resolve_stems(wanted, stems).collect()}
+    assert got == {"ab.us": "AB.NASDAQ", "A": "ABC.NYSE", "AZ": "AZ.NASDAQ", "AX": None, "BRK": "BRK.B.NYSE", "BRK.B": "BRK.B.NYSE", "ABCD": None, None: None}
+    allowed = spark.createDataFrame([(" az.us ",), ("BRK.B",), (None,)], "symbol string")
+    assert sorted(r.stem for r in B.answering(stems, allowed).collect()) == ["AZ.NASDAQ", "BRK.B.NYSE"]
+
+
+def test_masked_mean_of_odd_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [([[1.0, 2.0], [3.0, nan], [inf, 6.0]], [1, 1, 0]), ([[1.0, 2.0]], [0]), ([], [])]
+    got = values(spark.createDataFrame(rows, "states array<array<double>>, mask array<int>"), H.masked_mean("states", "mask", 2))
+    assert got == [[0.0, 0.0], [0.0, 0.0], [0.0, 0.0]]
+    rows = [([[1.0, 2.0], [3.0, 5.0], [9.0, 9.0]], [1, 1, 0])]
+    assert values(spark.createDataFrame(rows, "states array<array<double>>, mask array<int>"), H.masked_mean("states", "mask", 2)) == [[2.0, 3.5]]
+
+
+def test_a_head_is_fitted_on_its_own_split(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3))
+    y = x @ [1.0, -2.0, 0.5] + 0.3
+    rows = [(k, D0 + dt.timedelta(k % 4), x[k].tolist(), float(y[k]) if k < 40 else float(-y[k]), ("train", "val", None)[k // 40 if k < 58 else 2]) for k in range(60)]
+    rows += [(60, D0, [1.0], 1.0, "train"), (61, D0, [1.0, float("nan"), 2.0], 1.0, "train"), (62, D0, [1.0, 1.0, 1.0], None, "train")]
+    f = spark.createDataFrame(rows, "k int, trade_date date, v array<double>, target double, split string")
+    scored, (weights, bias) = H.train_and_score(f, "v", "target", 3, 1e-9)
+    assert np.allclose(weights + [bias], [1.0, -2.0, 0.5, 0.3])
+    assert sorted(r.k for r in scored.collect()) == [*range(58), 62]
+    ic = {r.split: r for r in H.ic_by_split(scored, 3).collect()}
+    assert np.isclose(ic["train"].pearson_mean, 1) and np.isclose(ic["val"].spearman_mean, -1)
+
+
+def test_null_flags_and_buckets_do_not_pass(spark):
+    f = spark.createDataFrame([(1, True, "small"), (2, False, "non_small"), (3, None, None)], "k int, parsed_ok boolean, size_bucket string")
+    assert values(S.only_parsed(f), "k") == [1]
+    assert values(Z.of_bucket(f, "small"), "k") == [1] and len(values(Z.of_bucket(f, None), "k")) == 3
