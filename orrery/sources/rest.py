@@ -90,9 +90,9 @@ def parse_rows(kind: str, ticker: str, text: str) -> list[tuple]:
     return [(ticker, *[value(r, how, s) for _, how, s in KINDS[kind]]) for r in rows]
 
 
-class _Ticker(InputPartition):
-    def __init__(self, ticker: str):
-        self.ticker = ticker
+class _Tickers(InputPartition):
+    def __init__(self, tickers: list[str], per_minute: float):
+        self.tickers, self.per_minute = tickers, per_minute
 
 
 class _Reader(DataSourceReader):
@@ -100,15 +100,24 @@ class _Reader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        return [_Ticker(t) for t in self.options["tickers"].split(",") if t]
+        """The tickers, dealt to at most ``readers`` partitions, each of which has its share of the rate."""
+        tickers = [t for t in self.options["tickers"].split(",") if t]
+        readers = min(int(self.options.get("readers", "4")), len(tickers))
+        return [_Tickers(tickers[k::readers], float(self.options.get("perMinute", "999")) / readers) for k in range(readers)]
 
     def read(self, partition):
         o = self.options
         fetch = _function(o.get("fetch", "orrery.sources.rest:http_fetch"))
-        RateLimiter(float(o.get("perMinute", "999")), lenient=True).wait()
+        limiter = RateLimiter(partition.per_minute, lenient=True)
         params = {k[6:]: v for k, v in o.items() if k.startswith("param.")}
-        text = with_retries(lambda: fetch(o["url"].format(ticker=partition.ticker), params), int(o.get("attempts", "8")), float(o.get("backoff", "2")))
-        yield from parse_rows(o.get("kind", "bars"), partition.ticker, text)
+        for ticker in partition.tickers:
+
+            def call():
+                limiter.wait()  # a repeated call counts too
+                return fetch(o["url"].format(ticker=ticker), params)
+
+            text = with_retries(call, int(o.get("attempts", "8")), float(o.get("backoff", "2")))
+            yield from parse_rows(o.get("kind", "bars"), ticker, text)
 
 
 class _Pages(SimpleDataSourceStreamReader):

@@ -25,6 +25,22 @@ def test_news_files(spark, tmp_path):
     assert [r.title for r in got] == ["t1"] and got[0].sentiment == {"pos": 0.5}
 
 
+def test_rows_of_news_files_are_numbered_across_blocks(spark, tmp_path):
+    lines = {"a.jsonl": [], "b.jsonl": ["", "no json", json.dumps({"title": "b2", "date": "2024-01-01"})]}
+    lines["a.jsonl"] = [json.dumps({"title": f"a{k}", "content": "x" * (k % 50)}) for k in range(400)]
+    for name, rows in lines.items():
+        (tmp_path / name).write_text("\n".join(rows) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = files.news(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        got = rows.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.title: r.source_row for r in got} == {**{f"a{k}": k for k in range(400)}, "b2": 2} and len(got) == 401
+
+
 def test_bar_files_and_shards(spark, tmp_path):
     for exchange, ticker in (("NYSE", "A"), ("NASDAQ", "B")):
         (tmp_path / exchange).mkdir()
@@ -96,6 +112,13 @@ def test_limits_and_retries():
     assert rest.with_retries(flaky, sleep=lambda s: None) == "done" and len(calls) == 3
 
 
+def test_readers_share_the_rate(spark):
+    reader = rest._Reader({"tickers": "A,B,C,D,E", "perMinute": "60", "readers": "2"})
+    parts = reader.partitions()
+    assert [p.tickers for p in parts] == [["A", "C", "E"], ["B", "D"]] and sum(p.per_minute for p in parts) == 60
+    assert rest._Reader({"tickers": ""}).partitions() == []
+
+
 def test_sinks(spark, tmp_path):
     f = spark.createDataFrame([("NYSE", "A", "2024-01-02", 0.5, None), ("NYSE", "B", "2024-01-02", -0.5, "bad")], "exchange string, symbol string, trade_date string, weight double, reason string")
     sinks.jsonl_shards(f.coalesce(1), str(tmp_path / "j"), 1)
