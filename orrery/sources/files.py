@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from fnmatch import fnmatchcase
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,6 +69,25 @@ def paired(metadata: DataFrame, vectors: DataFrame, keys=("source_file", "source
     return both.filter(F.when(alone, F.raise_error(message).cast("boolean")).otherwise(True)).drop("_m", "_v")
 
 
+#: Name patterns of metadata and vector files, the first layout that a folder has counts.
+LAYOUTS = (("metadata_*.parquet", "embeddings_*.parquet"), ("responses_*.parquet", "pre_response_embeddings_*.parquet"))
+
+
+def vector_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Metadata and vectors of a folder (and its subfolders), in the first of ``LAYOUTS`` that it has files of."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    present = [False] * len(LAYOUTS)
+    while found.hasNext() and not present[0]:
+        name = found.next().getPath().getName()
+        present = [seen or fnmatchcase(name, metadata) for seen, (metadata, _) in zip(present, LAYOUTS)]
+    for seen, patterns in zip(present, LAYOUTS):
+        if seen:
+            metadata, vectors = (sharded(spark, folder, p).drop("source_path") for p in patterns)
+            return metadata, vectors
+    raise FileNotFoundError(f"no metadata or responses below {folder}")
+
+
 def tickers_from_text(spark: SparkSession, path: str) -> DataFrame:
     """ticker, seq: the first comma-separated field of each line; # starts a comment."""
     lines = spark.read.text(path).select(F.trim(F.get(F.split(F.regexp_replace("value", "#.*$", ""), ","), 0)).alias("ticker"), F.monotonically_increasing_id().alias("seq"))

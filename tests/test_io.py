@@ -112,6 +112,23 @@ def test_limits_and_retries():
     assert rest.with_retries(flaky, sleep=lambda s: None) == "done" and len(calls) == 3
 
 
+def test_vectors_come_in_two_layouts(spark, tmp_path):
+    def write(name, **columns):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        pd.DataFrame(columns).to_parquet(tmp_path / name)
+
+    with pytest.raises(FileNotFoundError):
+        files.vector_files(spark, str(tmp_path))
+    write("s0/responses_0.parquet", source_row=[1, 2], label=["YES", "NO"])
+    write("s0/pre_response_embeddings_0.parquet", source_row=[1, 2], vector=[[1.0], [2.0]])
+    metadata, vectors = files.vector_files(spark, str(tmp_path))
+    assert files.paired(metadata, vectors, ["source_row"]).count() == 2 and "label" in metadata.columns
+    write("s1/metadata_0.parquet", source_row=[7], title=["t"])
+    write("s1/embeddings_0.parquet", source_row=[7], vector=[[3.0]])
+    metadata, vectors = files.vector_files(spark, str(tmp_path))
+    assert [r.title for r in metadata.collect()] == ["t"] and [r.vector for r in vectors.collect()] == [[3.0]]
+
+
 def test_readers_share_the_rate(spark):
     reader = rest._Reader({"tickers": "A,B,C,D,E", "perMinute": "60", "readers": "2"})
     parts = reader.partitions()
