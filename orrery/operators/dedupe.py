@@ -1,18 +1,25 @@
 """Near-duplicate articles of a symbol within a few business days, first one kept.
 
-Dot products come from one join on symbol, token and a span of days as long as the
-window, so that a symbol's long history does not meet itself; sums combine on the
-map side before pairs are shuffled.
+Dot products of all pairs come from one join on symbol, token and a span of days as
+long as the window; the greedy pass packs each article once as its bag and compares
+in blocks (``bag_products``), so there neither pairs nor their tokens are shuffled.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bag_tokens
 from ..functions.times import business_days
+from .bag_products import Block, chunks, pack
+
+#: Articles whose turn it is at once where order matters.
+TURN = 2048
 
 
 def bags(articles: DataFrame) -> DataFrame:
@@ -27,6 +34,16 @@ def norms(articles: DataFrame) -> DataFrame:
     return bags(articles).groupBy("symbol", "doc").agg(F.count("*").alias("n_terms"), F.sum("c").alias("n_tokens"), F.first("norm").alias("norm"))
 
 
+def _packed(articles: DataFrame) -> DataFrame:
+    """symbol, day, doc, bag of the articles that can be compared."""
+    hashes = F.transform(bag_tokens("text"), lambda t: F.xxhash64(t))
+    return _dated(articles).select("symbol", "day", "doc", hashes.alias("tokens")).mapInArrow(pack, "symbol string, day date, doc long, bag binary")
+
+
+def _dated(articles: DataFrame) -> DataFrame:
+    return articles.filter("symbol is not null and day is not null and doc is not null")
+
+
 def similar_pairs(articles: DataFrame, threshold: float = 0.8, window_days: int = 5) -> DataFrame:
     """symbol, earlier, later, cosine for all pairs of at least ``threshold`` within ``window_days`` business days.
 
@@ -48,24 +65,32 @@ def similar_pairs(articles: DataFrame, threshold: float = 0.8, window_days: int
 def greedy_keep(articles: DataFrame, threshold: float = 0.8, window_days: int = 5) -> DataFrame:
     """symbol, doc, kept: dropped if and only if an earlier *kept* article within the window is similar.
 
-    Only articles that occur in a similar pair need an order-dependent pass, symbol
-    by symbol, over their pairs; the others are kept outright.
+    The rule depends on order, so a symbol's articles pass in order through one task,
+    which holds the kept ones of the window; each meets only those.
     """
-    pairs = similar_pairs(articles, threshold, window_days)
-
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(set(zip(pdf.later_day, pdf.later)) | set(zip(pdf.earlier_day, pdf.earlier)))
-        before: dict[int, list[int]] = {}
-        for a, b in zip(pdf.earlier, pdf.later):
-            before.setdefault(b, []).append(a)
-        dropped: set[int] = set()
-        for _, doc in order:
-            if any(a not in dropped for a in before.get(doc, ())):
-                dropped.add(doc)
-        return pd.DataFrame({"symbol": pdf.symbol.iloc[0], "doc": sorted(dropped)})
-
-    day = articles.select("symbol", "doc", "day")
-    dated = pairs.join(day.select("symbol", F.col("doc").alias("earlier"), F.col("day").alias("earlier_day")), ["symbol", "earlier"])
-    dated = dated.join(day.select("symbol", F.col("doc").alias("later"), F.col("day").alias("later_day")), ["symbol", "later"])
-    dropped = dated.groupBy("symbol").applyInPandas(resolve, "symbol string, doc long")
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, kept = None, []
+        for (name,), x in chunks(batches, ["symbol"], TURN):
+            if name != symbol:
+                symbol, kept = name, []
+            kept = [b for b in kept if b.number[-1] >= x.number[0] - window_days]
+            x.index()
+            stay = np.ones(len(x), bool)
+            for b in kept:
+                stay[x.similar(b, threshold, window_days)[1]] = False
+            left, rest = np.flatnonzero(stay), x.take(stay).index()
+            i, j, _ = rest.similar(rest, threshold, window_days)
+            later = np.split(j, np.searchsorted(i, np.arange(1, len(left))))
+            for k in range(len(left)):
+                if stay[left[k]]:
+                    stay[left[later[k]]] = False
+            new = x.take(stay)
+            kept = [*kept[:-1], Block.joined([kept[-1], new])] if kept and len(kept[-1]) + len(new) <= 2 * TURN else [*kept, new]
+            kept = [b for b in kept if len(b)]
+            out = x.doc[~stay]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.string()), pa.array(out)], ["symbol", "doc"])
+
+    ordered = _packed(articles).repartition("symbol").sortWithinPartitions("symbol", "day", "doc")
+    dropped = ordered.mapInArrow(resolve, "symbol string, doc long").distinct()
     return articles.select("symbol", "doc").join(dropped.withColumn("_out", F.lit(True)), ["symbol", "doc"], "left").select("symbol", "doc", F.col("_out").isNull().alias("kept"))
