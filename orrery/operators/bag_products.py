@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 
 HEAD = 1024  # tokens that have columns of their own
-CHUNK = 512  # articles of the first block at a time
+CHUNK = 256  # articles of the first block at a time
+POSTINGS = 1 << 20  # products outside the head at a time
 PIECE = 1000  # articles that are packed at a time
 _EXACT = 2**24
 
@@ -106,6 +107,11 @@ class Block:
         self.rest, self.rest_owner, self.rest_count = token[order], owner[order], count[order]
         return self
 
+    def only_index(self) -> Block:
+        """Without the entries, once only products are of use."""
+        self.owner = self.token = self.count = None
+        return self
+
     def _head(self, x: Block) -> tuple[np.ndarray, np.ndarray]:
         """The columns of those of x's entries that have one, and which these are."""
         if not len(self.head):
@@ -126,11 +132,14 @@ class Block:
         start = np.searchsorted(self.rest, token)
         n = np.searchsorted(self.rest, token, "right") - start
         owner, count, start, n = (a[n > 0] for a in (owner, count, start, n))
-        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        other = self.rest_owner[at]
-        own = (other >= low) & (other < high)
-        where = np.repeat(owner, n)[own] * (high - low) + other[own] - low
-        np.add.at(out.reshape(-1), where, (np.repeat(count, n)[own] * self.rest_count[at[own]]).astype(kind))
+        ends = np.cumsum(n)
+        cuts = np.unique([0, *np.searchsorted(ends, np.arange(POSTINGS, n.sum(), POSTINGS)), len(n)])
+        for k in (slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])):
+            at = np.repeat(start[k] - (np.cumsum(n[k]) - n[k]), n[k]) + np.arange(n[k].sum())
+            other = self.rest_owner[at]
+            own = (other >= low) & (other < high)
+            where = np.repeat(owner[k], n[k])[own] * (high - low) + other[own] - low
+            np.add.at(out.reshape(-1), where, (np.repeat(count[k], n[k])[own] * self.rest_count[at[own]]).astype(kind))
         return out
 
     def similar(self, x: Block, threshold: float, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +152,7 @@ class Block:
         if low >= high:
             return none
         out = self.products(x, low, high)
-        least = np.outer(x.norm * (threshold * (1 - 1e-5)), self.norm[low:high]).astype(out.dtype)
+        least = np.outer((x.norm * (threshold * (1 - 1e-5))).astype(out.dtype), self.norm[low:high].astype(out.dtype))
         i, j = np.divmod(np.flatnonzero((out >= least) & (out > 0)), high - low)
         dot, j = out[i, j].astype(float), j + low
         cosine = dot / (x.norm[i] * self.norm[j])

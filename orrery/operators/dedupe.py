@@ -1,8 +1,7 @@
 """Near-duplicate articles of a symbol within a few business days, first one kept.
 
-Dot products of all pairs come from one join on symbol, token and a span of days as
-long as the window; the greedy pass packs each article once as its bag and compares
-in blocks (``bag_products``), so there neither pairs nor their tokens are shuffled.
+Each article is packed once as its bag; articles are compared in blocks
+(``bag_products``), so neither pairs nor tokens of pairs are ever shuffled.
 """
 
 from __future__ import annotations
@@ -18,8 +17,10 @@ from ..functions.text import bag_tokens
 from ..functions.times import business_days
 from .bag_products import Block, chunks, pack
 
-#: Articles whose turn it is at once where order matters.
-TURN = 2048
+#: Articles of a block that the others come to, and symbol-days up to which their list is sent to all.
+BLOCK, FEW = 8192, 100_000
+#: Pairs to a batch of results, and articles whose turn it is at once where order matters.
+PAIRS, TURN = 1 << 16, 2048
 
 
 def bags(articles: DataFrame) -> DataFrame:
@@ -44,22 +45,56 @@ def _dated(articles: DataFrame) -> DataFrame:
     return articles.filter("symbol is not null and day is not null and doc is not null")
 
 
-def similar_pairs(articles: DataFrame, threshold: float = 0.8, window_days: int = 5) -> DataFrame:
+def _homes(articles: DataFrame, window_days: int, block: int) -> DataFrame:
+    """symbol, day, parts of the day, its first block, and the blocks of the symbol that its articles have to meet.
+
+    A block has consecutive days of a symbol; a day of more than ``block`` articles has several.
+    """
+    per_day = _dated(articles).groupBy("symbol", "day").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("symbol").orderBy("day")) - F.col("n")
+    days = per_day.select("symbol", "day", F.floor(before / block).alias("first"), F.ceil(F.col("n") / block).alias("parts"))
+    part = days.select("symbol", "day", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    blocks = part.groupBy("symbol", "first", "part").agg(F.min("day").alias("from"), F.max("day").alias("to"))
+    x, y = days.alias("x"), blocks.alias("y")
+    meet = (F.col("x.symbol") == F.col("y.symbol")) & (F.col("x.day") <= F.col("y.to")) & (business_days("x.day", "y.from") <= window_days)
+    met = x.join(y, meet).groupBy("x.symbol", "x.day", "x.first", "x.parts")
+    return met.agg(F.collect_list(F.struct(F.col("y.first").alias("first"), F.col("y.part").alias("part"))).alias("homes"))
+
+
+def similar_pairs(articles: DataFrame, threshold: float = 0.8, window_days: int = 5, block: int = BLOCK) -> DataFrame:
     """symbol, earlier, later, cosine for all pairs of at least ``threshold`` within ``window_days`` business days.
 
-    articles: symbol, day, doc (unique, orders articles within a day), text.
+    articles: symbol, day, doc (unique, orders articles within a day), text.  A symbol's
+    articles lie in blocks of consecutive days; those that have a later one within the
+    window in a block come to it, and meet its articles there.
     """
-    span = (window_days // 5 + 1) * 7 + 2  # no window has more calendar days
-    number = F.floor(F.datediff("day", F.lit("1970-01-05").cast("date")) / span)
-    own = bags(articles).withColumn("span", number)
-    x = own.withColumn("span", F.explode(F.array(F.col("span"), F.col("span") + 1))).alias("x")
-    y = own.alias("y")
-    earlier = F.struct("x.day", "x.doc") < F.struct("y.day", "y.doc")
-    near = business_days("x.day", "y.day") <= window_days
-    same = (F.col("x.symbol") == F.col("y.symbol")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.span") == F.col("y.span"))
-    pairs = x.join(y, same & earlier & near).groupBy(F.col("x.symbol").alias("symbol"), F.col("x.doc").alias("earlier"), F.col("y.doc").alias("later"))
-    dots = pairs.agg(F.sum(F.col("x.c") * F.col("y.c")).alias("dot"), F.max("x.norm").alias("n1"), F.max("y.norm").alias("n2"))
-    return dots.select("symbol", "earlier", "later", (F.col("dot") / (F.col("n1") * F.col("n2"))).alias("cosine")).filter(F.col("cosine") >= threshold)
+    homes = _homes(articles, window_days, block)
+    homes = F.broadcast(homes) if homes.limit(FEW + 1).count() <= FEW else homes
+    own = F.struct(F.col("first"), F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"))
+    sent = _packed(articles).join(homes, ["symbol", "day"]).withColumn("own", own).withColumn("home", F.explode("homes"))
+    sent = sent.select("symbol", F.col("home.first").alias("first"), F.col("home.part").alias("part"), (F.col("home") == F.col("own")).alias("own"), "day", "doc", "bag")
+    # The block's own articles are first; they come to it once more, to meet one another.
+    sent = sent.withColumn("role", F.explode(F.when(F.col("own"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))).drop("own")
+    ordered = sent.repartition("symbol", "first", "part").sortWithinPartitions("symbol", "first", "part", "role", "day", "doc")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, parts, ready = None, [], None
+        for (*key, role), x in chunks(batches, ["symbol", "first", "part", "role"]):
+            if key != home:
+                home, parts, ready = key, [], None
+            if role == 0:
+                parts.append(x)
+                continue
+            if ready is None:
+                ready, parts = Block.joined(parts).index().only_index(), []
+            i, j, cosine = ready.similar(x, threshold, window_days)
+            for at in range(0, len(i), PAIRS):
+                k = slice(at, at + PAIRS)
+                n = len(i[k])
+                symbol = pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([key[0]], pa.string())).dictionary_decode()
+                yield pa.RecordBatch.from_arrays([symbol, pa.array(x.doc[i[k]]), pa.array(ready.doc[j[k]]), pa.array(cosine[k])], ["symbol", "earlier", "later", "cosine"])
+
+    return ordered.mapInArrow(meet, "symbol string, earlier long, later long, cosine double")
 
 
 def greedy_keep(articles: DataFrame, threshold: float = 0.8, window_days: int = 5) -> DataFrame:

@@ -44,6 +44,13 @@ def all_pairs(rows, threshold, window):
     return found
 
 
+@pytest.mark.parametrize("block", [D.BLOCK, 9])
+def test_pairs_against_all_pairs(spark, rows, block):
+    f = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {(r.symbol, r.earlier, r.later): r.cosine for r in D.similar_pairs(f, 0.8, block=block).collect()}
+    assert got == all_pairs(rows, 0.8, 5) and len(got) > 300 and ("A", 300, 301) in got and ("A", 304, 305) in got
+
+
 @pytest.mark.parametrize("turn", [D.TURN, 5])
 def test_kept_against_all_pairs(spark, rows, turn, monkeypatch):
     monkeypatch.setattr(D, "TURN", turn)
@@ -61,7 +68,7 @@ def test_products_are_exact_where_single_precision_is_not():
     assert big.products(big, 0, 1)[0, 0] == 5001**2 + 4999**2
 
 
-@pytest.mark.parametrize("find", [D.greedy_keep])
+@pytest.mark.parametrize("find", [D.similar_pairs, D.greedy_keep])
 def test_no_row_per_pair_and_token(spark, rows, find):
     """Tokens are never rows, so no join or sort has one for each token that two articles share."""
     plan = find(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
