@@ -16,13 +16,17 @@ different corners of both, agree in turn and in change of scale.  Verification
 matches the descriptors themselves: mutual matches of least Hamming distance each
 propose a similarity transform, and a link needs enough of them to agree on one.
 
-Images with equal pixels are one node.  Links make nodes one class.  A bucket is
-never expanded into all its pairs: in each round its members meet one of them (the
-last, later on one of the first and one of the last class), and rounds go on while
-they find links.  After that, buckets that still hold several classes give the pairs
-across these classes, without the images themselves; of those that have not met,
-the ones with two agreeing meetings are verified.  So every such pair is decided or
-lies within one class.
+Images with equal pixels are one node.  Links make nodes one class.  Nodes are dealt
+over blocks by a hash; each two blocks meet in one task, with the images of both, so
+no row per meeting leaves a task, only links.  There a bucket is never expanded into
+all its pairs: in each round its members meet one of them (the last, later on one of
+the first and one of the last class), and rounds go on while they find links.  After
+that, buckets that still hold several classes give the pairs across these classes; of
+those that have not met, the ones with two agreeing meetings are verified.  So every
+such pair is decided or lies within one class.  Between two blocks only pairs across
+them count.  The work still grows with the square of the number of images: chance
+meetings do, at a constant rate a pair, and each image goes to as many tasks as there
+are blocks.
 
 The search is approximate in one point only: copies that meet less than twice are
 not found.  Of edited copies that verification accepts, at least 0.9 meet (noise,
@@ -42,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -63,6 +67,8 @@ LEAST_AGREE = 5
 TURN_OFF, STEPS_OFF = 0.1, 1
 TILE = 6  # pixels to a cell of a grey grid
 BLOCK = 1 << 22  # descriptor pairs that are compared at once
+#: Images of a block, at most on average; blocks at least; meetings that a task looks at together.
+BLOCK_IMAGES, LEAST_BLOCKS, MEETINGS = 8192, 4, 1 << 21
 
 _KERNEL = np.exp(-0.5 * (np.arange(-3, 4) / 1.5) ** 2)
 _KERNEL /= _KERNEL.sum()
@@ -265,86 +271,152 @@ def _describe(grey) -> callable:
     return run
 
 
-def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, features -> key, node, corner, last."""
-    for batch in batches:
-        for node, features in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            keys, corner, last = table_keys(*_unpack(features))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, np.full(len(keys), node), corner, last)], ["key", "node", "corner", "last"])
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        same = [is_copy(*_unpack(a), *_unpack(b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], ["a", "b", "linked"])
-
-
-def _linked(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) that are copies."""
-    left, right = (features.select(F.col("node").alias(s), F.col("features").alias(f"f_{s}")) for s in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "f_a", "f_b")
-    return both.mapInArrow(_verify, "a long, b long, linked boolean").filter("linked").select("a", "b")
-
-
-def _agreeing(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) of which two or more of the meetings (a, b, corner_a, corner_b) agree."""
-    turn = F.pmod(F.col("corner_b").bitwiseAND(255) - F.col("corner_a").bitwiseAND(255), F.lit(256))
-    step = F.shiftright("corner_b", 8).bitwiseAND(255) - F.shiftright("corner_a", 8).bitwiseAND(255)
-    hits = met.select("a", "b", F.struct(F.shiftright("corner_a", 16).alias("i"), F.shiftright("corner_b", 16).alias("j"), turn.alias("turn"), step.alias("step")).alias("hit"))
-    several = hits.groupBy("a", "b").agg(F.collect_set("hit").alias("hits")).filter(F.size("hits") >= 2)
-
-    def agree(x, y):
-        off = F.pmod(x["turn"] - y["turn"], F.lit(256))
-        return (x["i"] != y["i"]) & (x["j"] != y["j"]) & (F.least(off, 256 - off) <= int(TURN_OFF * 256)) & (F.abs(x["step"] - y["step"]) <= STEPS_OFF)
-
-    # A list has at most as many meetings as the pair has keys; one of the first of copies has a partner.
-    return several.filter(F.exists("hits", lambda x: F.exists("hits", lambda y: agree(x, y)))).select("a", "b")
-
-
-def _near(x: str, y: str) -> Column:
-    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= NEAR_BITS
-
-
-def _meet(members: DataFrame, extreme) -> DataFrame:
-    """Meetings of ``members`` (key, node, corner, last, class) with the bucket's least or greatest one of another class."""
-    one = members.groupBy("key").agg(extreme(F.struct("class", "node", "corner", "last")).alias("o"))
-    both = members.join(one, "key").filter((F.col("class") != F.col("o.class")) & _near("last", "o.last"))
-    first = F.col("node") < F.col("o.node")
-    ends = (("a", "node", "o.node"), ("b", "o.node", "node"), ("corner_a", "corner", "o.corner"), ("corner_b", "o.corner", "corner"))
-    return both.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in ends])
-
-
-def _open(scratch: Scratch, members: DataFrame) -> DataFrame:
-    """``members`` (key, node, corner, last, class) of the buckets that hold several classes."""
-    several = members.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least < most").select("key")
-    return scratch.keep(members.join(several, "key"), "open")
-
-
-def classes_of(scratch: Scratch, features: DataFrame, keys: DataFrame) -> DataFrame:
-    """(node, class) for the linked ones of the images (node, features), which lie in the buckets ``keys`` (key, node, corner, last)."""
-    members = _open(scratch, keys.withColumn("class", F.col("node")))
-    here, links, done = members, None, None
-    classes = features.select("node", F.col("node").alias("class")).filter("false")
-    while True:
-        met = _meet(here, F.max) if done is None else _meet(here, F.max).unionByName(_meet(here, F.min))
-        asked = _agreeing(met)
-        asked = scratch.keep(asked if done is None else asked.join(done, ["a", "b"], "left_anti"), "asked")
-        done = asked if done is None else done.unionByName(asked)
-        new = scratch.keep(_linked(asked, features), "links")
-        if new.isEmpty():
-            break
-        links = new if links is None else links.unionByName(new)
-        classes = components(scratch, links)
-        classed = members.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        here = _open(scratch, classed)
-    x, y = (here.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "corner", "last", "class")]) for end in "ab")
-    across = x.join(y, "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b")) & _near("last_a", "last_b"))
-    across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "corner_a", "corner_b")
-    rest = scratch.keep(_agreeing(across).join(done, ["a", "b"], "left_anti"), "rest")
-    more = scratch.keep(_linked(rest, features), "links")
-    if not more.isEmpty():
-        classes = components(scratch, more if links is None else links.unionByName(more))
-    scratch.drop("asked", "links", "open", "rest")
+def _agreeing(pairs: np.ndarray, corner_a: np.ndarray, corner_b: np.ndarray) -> np.ndarray:
+    """The distinct ones of ``pairs`` (one number each) of which two or more meetings agree."""
+    order = np.argsort(pairs, kind="stable")
+    pairs, a, b = pairs[order], corner_a[order], corner_b[order]
+    i, j, turn, step = a >> 16, b >> 16, b - a & 255, (b >> 8 & 255) - (a >> 8 & 255)
+    at, off, good = np.arange(len(pairs)), 0, []
+    while len(at):  # a pair has at most as many meetings as an image has keys
+        off += 1
+        at = at[at + off < len(pairs)]
+        at = at[pairs[at] == pairs[at + off]]
+        to = at + off
+        turned = turn[at] - turn[to] & 255
+        agree = (i[at] != i[to]) & (j[at] != j[to]) & (np.minimum(turned, 256 - turned) <= int(TURN_OFF * 256)) & (np.abs(step[at] - step[to]) <= STEPS_OFF)
+        good.append(pairs[at[agree]])
+    return np.unique(np.concatenate([pairs[:0], *good]))
+
+
+class _Blocks:
+    """The search among the images of one block, or between those of two (``side`` 0 and 1)."""
+
+    def __init__(self, nodes: np.ndarray, side: np.ndarray, features: list[bytes], buckets: list[bytes | None]):
+        order = np.lexsort((nodes, side))
+        self.nodes, side = nodes[order], side[order]
+        self.features = [features[k] for k in order]
+        rows = [_buckets(features[k], buckets[k]) for k in order]
+        self.n, self.two = len(order), bool(side.any())
+        self.classes = np.arange(self.n)
+        self.asked = np.zeros(0, np.int64)
+        self.links: list[tuple[int, int]] = []
+        own = np.repeat(np.arange(self.n), [len(r[0]) for r in rows])
+        key, corner, last = (np.concatenate([r[c] for r in rows]) if rows else np.zeros(0, np.int64) for c in range(3))
+        by_key = np.argsort(key, kind="stable")  # and so by side and image within a bucket
+        self.key, self.own, self.corner, self.last, self.right = key[by_key], own[by_key], corner[by_key], last[by_key], side[own[by_key]] > 0
+
+    def _open(self) -> None:
+        """Leave the rows of buckets that hold several classes and, of two blocks, images of both."""
+        while True:
+            self.start = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]]) if len(self.key) else np.zeros(0, np.int64)
+            self.size = np.diff(np.r_[self.start, len(self.key)])
+            if not len(self.key):
+                return
+            of = self.classes[self.own]
+            several = np.minimum.reduceat(of, self.start) < np.maximum.reduceat(of, self.start)
+            if self.two:
+                right = np.add.reduceat(self.right.astype(np.int64), self.start)
+                several &= (right > 0) & (right < self.size)
+            if several.all():
+                return
+            stay = np.repeat(several, self.size)
+            self.key, self.own, self.corner, self.last, self.right = (x[stay] for x in (self.key, self.own, self.corner, self.last, self.right))
+
+    def _ask(self, x: np.ndarray, y: np.ndarray) -> int:
+        """Verify the pairs of which two meetings (rows ``x`` and ``y``) agree, unless they are of one class; the links found."""
+        near = np.bitwise_count((self.last[x] ^ self.last[y]).view(U)) <= NEAR_BITS
+        near &= self.classes[self.own[x]] != self.classes[self.own[y]]
+        x, y = x[near], y[near]
+        first = self.own[x] < self.own[y]
+        x, y = np.where(first, x, y), np.where(first, y, x)
+        pairs = _agreeing(self.own[x] * self.n + self.own[y], self.corner[x], self.corner[y])
+        pairs = pairs[~np.isin(pairs, self.asked)]
+        found, parent = len(self.links), self.classes
+        for a, b in zip((pairs // self.n).tolist(), (pairs % self.n).tolist()):
+            if parent[a] == parent[b]:
+                continue
+            lower, upper = (a, b) if self.nodes[a] < self.nodes[b] else (b, a)
+            if is_copy(*_unpack(self.features[lower]), *_unpack(self.features[upper])):
+                self.links.append((lower, upper))
+                parent[parent == max(parent[a], parent[b])] = min(parent[a], parent[b])
+        self.asked = np.union1d(self.asked, pairs)
+        return len(self.links) - found
+
+    def _pivots(self, extreme) -> tuple[np.ndarray, np.ndarray]:
+        """Rows, and the row that each meets: the extreme one of its bucket, or of the bucket's images of the other block."""
+        code = self.classes[self.own] * self.n + self.own
+        worst = -1 if extreme is np.maximum else self.n * self.n
+        x, y = [], []
+        for there in (True, False) if self.two else (None,):
+            can = np.ones(len(code), bool) if there is None else self.right == there
+            best = np.repeat(extreme.reduceat(np.where(can, code, worst), self.start), self.size)
+            pivot = np.repeat(np.flatnonzero(can & (code == best)), self.size)  # an image is once in a bucket
+            meets = np.flatnonzero(pivot != np.arange(len(code)) if there is None else ~can)
+            x.append(meets), y.append(pivot[meets])
+        return np.concatenate(x), np.concatenate(y)
+
+    def _rest(self) -> None:
+        """All pairs across classes, of a few images with all their partners at a time."""
+        at = np.arange(len(self.key))
+        end = np.repeat(self.start + self.size, self.size)
+        begin = end - np.repeat(np.add.reduceat(self.right.astype(np.int64), self.start), self.size) if self.two else at + 1
+        partners = np.where(self.right, 0, end - begin)
+        each = np.bincount(self.own, partners, self.n)
+        for chunk in np.split(np.arange(self.n), np.flatnonzero(np.diff(np.cumsum(each) // MEETINGS)) + 1):
+            rows = at[(self.own >= chunk[0]) & (self.own <= chunk[-1]) & (partners > 0)]
+            many = partners[rows]
+            x = np.repeat(rows, many)
+            if len(x):
+                self._ask(x, np.repeat(begin[rows] - np.cumsum(many) + many, many) + np.arange(len(x)))
+
+    def run(self) -> list[tuple[int, int]]:
+        """Links (of nodes, the lesser first) that connect all that the search finds."""
+        self._open()
+        found, later = len(self.key), False
+        while found and len(self.key):
+            found = self._ask(*self._pivots(np.maximum)) + (self._ask(*self._pivots(np.minimum)) if later else 0)
+            later = True
+            self._open()
+        if len(self.key):
+            self._rest()
+        return [(int(self.nodes[a]), int(self.nodes[b])) for a, b in self.links]
+
+
+def _buckets(features: bytes, given: bytes | None) -> np.ndarray | tuple[np.ndarray, ...]:
+    """Keys, corners and last bits: as ``given``, else from the descriptors."""
+    if given is not None:
+        return np.frombuffer(given, np.int64).reshape(-1, 3).T
+    return table_keys(*_unpack(features))
+
+
+def _search(table: pa.Table) -> pa.Table:
+    nodes, side = (table.column(c).to_numpy() for c in ("node", "side"))
+    links = _Blocks(nodes, side, table.column("features").to_pylist(), table.column("buckets").to_pylist()).run()
+    return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _given(rows: pa.Table) -> pa.Table:
+    packed = np.column_stack([rows.column(c).to_numpy() for c in ("key", "corner", "last")]).astype(np.int64).tobytes()
+    return pa.table([rows.column("node").combine_chunks().slice(0, 1), pa.array([packed], pa.binary())], names=["node", "buckets"])
+
+
+def classes_of(scratch: Scratch, features: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """(node, class) for the linked ones of the images (node, features).
+
+    ``keys`` (key, node, corner, last) are the buckets they lie in; by default those of their descriptors.
+    """
+    if keys is None:
+        images = features.withColumn("buckets", F.lit(None).cast("binary"))
+    else:
+        images = features.join(keys.groupBy("node").applyInArrow(_given, "node long, buckets binary"), "node")
+    blocks = max(LEAST_BLOCKS, -(-features.count() // BLOCK_IMAGES))
+    own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("own")
+    met = images.select("node", "features", "buckets", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    first, second = F.least("own", "other"), F.greatest("own", "other")
+    met = met.select("node", "features", "buckets", (F.col("own") > first).cast("int").alias("side"), (first * blocks + second).alias("blocks"))
+    links = scratch.keep(met.groupBy("blocks").applyInArrow(_search, "a long, b long"), "links")
+    classes = components(scratch, links)
+    scratch.drop("links")
     return classes
 
 
@@ -363,9 +435,8 @@ def copies(images: DataFrame, id_column: str, image_column: str, grey=None) -> D
     found = scratch.keep(described, "found")
     nodes = found.filter("content is not null").groupBy("content").agg(F.min("row").alias("node"), F.min("id").alias("id"), F.count("*").alias("rows"))
     nodes = scratch.keep(nodes, "nodes")
-    features = found.select(F.col("row").alias("node"), "features")
-    keys = features.join(nodes, "node", "left_semi").mapInArrow(_key_rows, "key long, node long, corner long, last long")
-    classes = classes_of(scratch, features, keys)
+    features = found.select(F.col("row").alias("node"), "features").join(nodes, "node", "left_semi")
+    classes = classes_of(scratch, features)
     named = nodes.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     per_class = named.groupBy("class").agg(F.min("id").alias("class_id"), F.sum("rows").alias("class_size"))
     named = named.join(per_class, "class").select("content", "class_id", "class_size")
